@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.changes import apply_changes
 from tidewell.operators.dedup import further_copies
+from tidewell.operators.hierarchy import hierarchy, paths, standing_links
 from tidewell.operators.snapshots import canonical_json, follow, snapshot_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +99,44 @@ b AS (
       WHEN n.kind IS DISTINCT FROM o.kind OR n.namespace IS DISTINCT FROM o.namespace OR n.name IS DISTINCT FROM o.name OR n.f IS DISTINCT FROM o.f THEN 'changed' END AS change_type
   FROM n FULL JOIN o ON n.record_id = o.record_id AND n.uid = o.uid)
 SELECT record_id, uid, change_type FROM b WHERE change_type IS NOT NULL"""
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = hierarchy(standing_links(table(spark, sf_dir, "ops")))
+    return nodes.select(F.col("scope").alias("epoch"), "uid", "root_uid", "depth", "on_cycle")
+
+
+_LINKS = """
+WITH RECURSIVE e AS (
+  SELECT epoch, uid, to_uid, arg_max(op, {'s': seq, 'i': idx}) AS op, arg_max(coalesce(attrs, '{}'), {'s': seq, 'i': idx}) AS attrs
+  FROM ops WHERE op IN (4, 5, 6) AND edge_type = 'owns' GROUP BY ALL),
+l AS (SELECT epoch, uid AS p, to_uid AS v FROM e WHERE op <> 5 AND json_extract(attrs, '$.controller')::VARCHAR = 'true'),
+nodes AS (SELECT epoch, p AS uid FROM l UNION SELECT epoch, v FROM l),
+tree AS (
+  SELECT epoch, uid, uid AS root, 0 AS depth, [uid] AS path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.epoch = n.epoch AND l.v = n.uid)
+  UNION ALL SELECT t.epoch, l.v, t.root, t.depth + 1, list_append(t.path, l.v) FROM tree t JOIN l ON l.epoch = t.epoch AND l.p = t.uid),
+stuck AS (SELECT n.epoch, n.uid FROM nodes n LEFT JOIN tree t ON t.epoch = n.epoch AND t.uid = n.uid WHERE t.uid IS NULL),
+up AS (
+  SELECT s.epoch, s.uid, l.p AS a FROM stuck s JOIN l ON l.epoch = s.epoch AND l.v = s.uid
+  UNION SELECT u.epoch, u.uid, l.p FROM up u JOIN l ON l.epoch = u.epoch AND l.v = u.a),
+ring AS (SELECT epoch, uid FROM up WHERE uid = a)
+"""
+SQL["p5_found"] = _LINKS + """
+SELECT epoch, uid, root AS root_uid, depth, 0 AS on_cycle FROM tree
+UNION ALL SELECT u.epoch, u.uid, min(u.a) FILTER (r.uid IS NOT NULL), -1, max(CASE WHEN u.uid = u.a THEN 1 ELSE 0 END)
+FROM up u LEFT JOIN ring r ON r.epoch = u.epoch AND r.uid = u.a GROUP BY u.epoch, u.uid"""
+
+
+@query
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full path and number of descendants of each resource that is on no cycle and below none."""
+    nodes = hierarchy(standing_links(table(spark, sf_dir, "ops")))
+    size = nodes.select("scope", "uid", (F.col("exit") - F.col("enter")).alias("n_descendants"))
+    return paths(nodes).join(size, ["scope", "uid"]).select(F.col("scope").alias("epoch"), "uid", F.array_join("path", "/").alias("path"), "n_descendants")
+
+
+SQL["p5_paths"] = _LINKS + """
+, below AS (SELECT epoch, unnest(path) AS uid FROM tree)
+SELECT t.epoch, t.uid, array_to_string(t.path, '/') AS path, b.n - 1 AS n_descendants
+FROM tree t JOIN (SELECT epoch, uid, count(*) AS n FROM below GROUP BY ALL) b ON b.epoch = t.epoch AND b.uid = t.uid"""
