@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators.changes import apply_changes
 from tidewell.operators.dedup import further_copies
 from tidewell.operators.hierarchy import hierarchy, paths, standing_links
+from tidewell.operators.logentries import log_entries
 from tidewell.operators.snapshots import canonical_json, follow, snapshot_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,12 @@ newest AS (
 SQL["p1_found"] = _CELLS + "SELECT epoch, uid, k AS field_name, pos.s AS set_seq FROM newest WHERE NOT gone"
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = log_entries(table(spark, sf_dir, "docker_lines"), with_message=False)
+    return entries.where("headed").select("source", "first_seq", "last_seq", "entry_sec", "level", "component")
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "summary_entries").select("delivery_id", "recv_ms", "target_id", "epoch", "seq", "dedup_key", "first_seen", F.nullif(F.lower(F.trim("finding_id")), F.lit("")).alias("finding"))
