@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.mixing import mix_sources
+from tidewell.llm.packing import pack_texts, packing_report
 from tidewell.llm.spans import shared_characters, shared_spans
+from tidewell.llm.tokens import with_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +20,28 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+
+
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_characters(shared_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+@query
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of each text, or of each piece of a text that exceeds one."""
+    return pack_texts(sized(spark, sf_dir))
+
+
+@query
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, against the lower bound over all texts."""
+    return packing_report(pack_texts(sized(spark, sf_dir)))
+
+
+@query
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each text is used, with the target and the reached share of its source."""
+    return mix_sources(sized(spark, sf_dir), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
