@@ -45,7 +45,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
         rest -= more * int(lengths[i])
     # some of what was taken is given back, so that the table has all lengths to choose from
     for i in order[::-1].tolist():
-        room = (table - rest) // int(lengths[i])
+        room = max(0, table - rest) // int(lengths[i])
         back = min(int(take[i]), 2, room)
         take[i] -= back
         rest += back * int(lengths[i])
