@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,8 +104,8 @@ class SeenIndex:
     def _merge(self) -> None:
         old, self.runs = self.runs, []
         spark = self.ws.spark
-        blobs = spark.read.schema("ids binary, prefix int").parquet(*old)
-        self.runs = [self._save(blobs.select("prefix", "ids"))]
+        blobs = [spark.read.schema("ids binary, prefix int").parquet(run).select("prefix", "ids") for run in old]
+        self.runs = [self._save(reduce(DataFrame.union, blobs))]
         for run in old:
             self.ws.drop(run)
 

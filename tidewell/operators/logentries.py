@@ -257,10 +257,10 @@ def _mine(batches):
     for batch in batches:
         for source, log in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             line = log.rstrip("\r\n")
-            if not line:
-                continue
             if "\x1b" in line:
                 line = ANSI.sub("", line)
+            if not line:
+                continue
             first = line[0]
             if first == "{" and JSON_START.match(line):
                 per[source, -1] += 1
