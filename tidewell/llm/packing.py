@@ -105,9 +105,9 @@ def pack_texts(sizes: DataFrame, *, id_column: str = "doc_id", size_column: str
     clean = sizes.select(F.col(id_column).cast("long").alias("id"), F.greatest(F.coalesce(F.col(size_column), F.lit(0)), F.lit(0)).cast("long").alias("total")).where(F.col("id").isNotNull())
     last = F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0))
     pieces = clean.withColumn("piece", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    pieces = pieces.select("id", "piece", F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).alias("size"))
+    pieces = ws.write(pieces.select("id", "piece", F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).alias("size")), "pieces")
     whole = pieces.where(F.col("size") == capacity).select("id", "piece", "size", F.concat_ws("-", F.lit("full"), "id", "piece").alias("bin"), F.lit(capacity).cast("long").alias("fill"), F.lit(0).alias("gap"))
-    loose = ws.write(pieces.where(F.col("size") < capacity), "pieces")
+    loose = pieces.where(F.col("size") < capacity)
     n = loose.count()
     parts = max(1, -(-n // per_partition))
     todo = loose.select(F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).alias("part"), "id", "piece", "size")
