@@ -171,29 +171,27 @@ def logfmt_labels(lines: pd.Series) -> pd.Series:
 
 
 def pattern_labels(line: Column, parts: tuple[tuple[str, str], ...]) -> Column:
-    """Labels by literals and captures, as plain columns.
+    """Labels by literals and captures, by one regular expression of nested options.
 
-    The rest of the line is carried from literal to literal; once a literal is
-    missing, the capture before it takes the rest and matching stops.
+    Each capture ends at the first occurrence of the literal after it; if that is
+    missing it takes the rest, and what follows is not set.
     """
-    rest: Column = line  # null once matching has stopped
-    labels: list[tuple[str, Column]] = []
-    waiting: str | None = None
-    for k, (kind, text) in enumerate(parts):
-        if kind == "capture":
-            waiting = text
-            continue
-        if k == 0:
-            rest = F.when(F.startswith(rest, F.lit(text)), F.substr(rest, F.lit(len(text) + 1)))
-            continue
-        at = F.locate(text, rest)
-        if waiting and waiting != "_":
-            labels.append((waiting, F.when(at > 0, F.substr(rest, F.lit(1), at - 1)).otherwise(rest)))
-        rest, waiting = F.when(at > 0, F.substr(rest, at + len(text))), None
-    if waiting and waiting != "_":
-        labels.append((waiting, rest))
-    pairs = F.array(*[F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in labels])
-    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+    lead, rest = ("", list(parts)) if parts[0][0] == "capture" else (parts[0][1], list(parts[1:]))
+    steps = [(name, rest[k + 1][1] if k + 1 < len(rest) else None) for k, (kind, name) in enumerate(rest) if kind == "capture"]
+
+    def quoted(text: str) -> str:
+        return "".join(c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}" for c in text)
+
+    regex = ""
+    for _, literal in reversed(steps):
+        regex = "(.*)()" if literal is None else f"(.*?)(?:({quoted(literal)}){regex}|\\z)"
+    regex = rf"(?s)\A{quoted(lead)}{regex}"
+    pairs = []
+    for k, (name, _) in enumerate(steps):
+        if name != "_":  # set if the literal before it was there
+            there = F.lit(True) if k == 0 else F.regexp_extract(line, regex, 2 * k) != ""
+            pairs.append(F.when(there, F.struct(F.lit(name).alias("k"), F.regexp_extract(line, regex, 2 * k + 1).alias("v"))))
+    return F.when(line.rlike(regex), F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull()))).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def regexp_labels(line: Column, pattern: str, java: str) -> Column:
