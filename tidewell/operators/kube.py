@@ -86,7 +86,7 @@ def kube_series(resources: DataFrame) -> DataFrame:
         F.when(F.size(own_series) > 0, own_series).otherwise(nobody),
     )
     node = {"node": F.col("name")}
-    node_info = _sample("kube_node_info", F.lit(1.0), **node, kernel_version=get("nodeInfo.kernelVersion"), os_image=get("nodeInfo.osImage"), container_runtime_version=get("nodeInfo.containerRuntimeVersion"), kubelet_version=get("nodeInfo.kubeletVersion"), provider_id=get("providerID"), pod_cidr=get("podCIDR"), internal_ip=get("internalIP"))
+    node_info = _sample("kube_node_info", F.lit(1.0), **node, kernel_version=get("kernelVersion"), os_image=get("osImage"), container_runtime_version=get("containerRuntimeVersion"), kubelet_version=get("kubeletVersion"), provider_id=get("providerID"), pod_cidr=get("podCIDR"), internal_ip=get("internalIP"))
     nodes = F.concat(
         F.array(node_info), conditions("kube_node_status_condition", node, r"^conditions\.([^.]+)\.status$", "status"),
         *[per_key(f"kube_node_status_{what}", rf"^{what}\.(.+)$", node, {"resource": 1}, number, unit=lambda k, w=what: unit_of(F.regexp_extract(k, rf"^{w}\.(.+)$", 1))) for what in ("capacity", "allocatable")],
