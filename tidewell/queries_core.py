@@ -47,6 +47,18 @@ newest AS (
 SQL["p1_found"] = _CELLS + "SELECT epoch, uid, k AS field_name, pos.s AS set_seq FROM newest WHERE NOT gone"
 
 
+@query
+def p1_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live resources with the values of their fields."""
+    now = apply_changes(table(spark, sf_dir, "ops"))
+    return now.select(F.col("scope").alias("epoch"), F.col("key").alias("uid"), F.col("field").alias("field_name"), "value", "set_seq")
+
+
+SQL["p1_current"] = _CELLS + """, last AS (SELECT c.epoch, c.uid, c.k, arg_max(c.v, c.pos) AS v FROM gone c JOIN alive a ON a.epoch = c.epoch AND a.uid = c.uid AND c.pos >= a.born GROUP BY ALL)
+SELECT n.epoch, n.uid, n.k AS field_name, CASE WHEN json_type(l.v) = 'VARCHAR' THEN json_extract_string(l.v, '$') ELSE l.v END AS value, n.pos.s AS set_seq
+FROM newest n JOIN last l ON l.epoch = n.epoch AND l.uid = n.uid AND l.k = n.k WHERE NOT n.gone"""
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = log_entries(table(spark, sf_dir, "docker_lines"), with_message=False)
