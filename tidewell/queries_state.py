@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import state as st
 from tidewell.operators.snapshots import follow
 from tidewell.queries_core import SQL as CORE_SQL
+from tidewell.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,10 +85,20 @@ SQL["standing_edges"] = f"WITH {_EDGES} SELECT * FROM e"
 
 @query
 def graph_reach(spark: SparkSession, d: str) -> DataFrame:
-    """Resources within three hops along owns and runs-on edges of every resource whose uid begins with 0."""
-    edges = st.edges_at(table(spark, d, "ops"))
-    starts = edges.where(F.col("from_uid").startswith("0")).select("epoch", F.col("from_uid").alias("uid"))
-    return st.graph_walk(edges, starts, depth=3, direction="out", types=("owns", "runs-on")).groupBy("epoch", "start").agg(F.count("*").alias("reached"), F.max("depth").alias("deepest"))
+    """Resources within three hops along owns and runs-on edges of every resource that a standing edge leaves.
+
+    Resources are numbered first, so that the walk shuffles numbers and not uids.
+    """
+    ws = Workspace(spark)
+    edges = ws.write(st.edges_at(table(spark, d, "ops").withColumn("attrs", F.lit(None).cast("string"))).drop("attrs"), "edges")
+    ends = edges.select("epoch", F.col("from_uid").alias("uid")).union(edges.select("epoch", "to_uid")).distinct()
+    nodes = ws.write(ends.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    source = nodes.select("epoch", F.col("uid").alias("from_uid"), F.col("id").alias("a"))
+    target = nodes.select("epoch", F.col("uid").alias("to_uid"), F.col("id").alias("b"))
+    links = ws.write(edges.join(source, ["epoch", "from_uid"]).join(target, ["epoch", "to_uid"]).select(F.col("a").alias("from_uid"), "type", F.col("b").alias("to_uid")), "links")
+    walk = st.graph_walk(links, links.select(F.col("from_uid").alias("uid")), depth=3, direction="out", types=("owns", "runs-on"), scope=())
+    found = walk.groupBy("start").agg(F.count("*").alias("reached"), F.max("depth").alias("deepest"))
+    return found.join(nodes, found["start"] == nodes["id"]).select("epoch", F.col("uid").alias("start"), "reached", "deepest")
 
 
 SQL["graph_reach"] = f"""WITH RECURSIVE {_EDGES}, g AS (SELECT epoch, from_uid AS a, to_uid AS b FROM e WHERE type IN ('owns', 'runs-on')),
