@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import canon, duck
+from tidewell.operators.findings import with_finding
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables here")
@@ -37,3 +38,23 @@ def test_graph_reach_starts_everywhere(spark):
     got = agree(spark, "graph_reach", lifted("graph_reach", (" WHERE from_uid LIKE '0%'", "")))
     starts = duck(SMALL).execute("SELECT count(DISTINCT (epoch, from_uid)) FROM (" + entry.oracle_sql()["standing_edges"] + ")").fetchone()[0]
     assert got.total() == starts == 175
+
+
+#: p3_found's SQL as far as the finding of each row
+NAMED = "(SELECT e.* REPLACE (x.f AS finding_id) FROM summary_entries e JOIN (" + entry.oracle_sql()["p3_found"].split(",\nk AS")[0] + " SELECT delivery_id, f FROM r) x ON x.delivery_id = e.delivery_id)"
+FINDINGS = ["finding_current", "finding_notifications"]
+
+
+def of_all_entries(name):
+    return lifted(name, ("lower(trim(finding_id))", "finding_id"), ("FROM summary_entries WHERE finding_id IS NOT NULL", f"FROM {NAMED} WHERE finding_id IS NOT NULL"))
+
+
+@pytest.mark.parametrize("name", FINDINGS)
+def test_rows_without_finding_id_count(spark, name):
+    agree(spark, name, of_all_entries(name))
+
+
+def test_finding_of_a_row_without_finding_id(spark):
+    rows = [(1, "t", " F1", "k", 5), (2, "t", None, "k", 5), (3, "t", "  ", "k", 5), (4, "u", None, "k", 5), (5, "t", None, None, 5)]
+    got = with_finding(spark.createDataFrame(rows, "delivery_id long, target_id string, finding_id string, dedup_key string, first_seen long"))
+    assert {r.delivery_id: r.finding for r in got.collect()} == {1: "f1", 2: "f1", 3: "f1", 4: "key 5 k", 5: "row 5"}

@@ -114,6 +114,24 @@ def merge_evidence(rows: DataFrame, cap_bytes: int) -> DataFrame:
     return merged.withColumn("size", F.sum(F.octet_length("text")).over(order)).withColumn("kept", F.col("size") <= cap_bytes).drop("size")
 
 
+def with_finding(entries: DataFrame) -> DataFrame:
+    """``entries`` with the ``finding`` that each row means.
+
+    Letter case and surrounding blanks of finding_id mean nothing.  A row
+    without one means the finding of its target with the same dedup_key and
+    first_seen; if that has no name, the two stand for it, and a row without one
+    of them stands for itself.
+    """
+    s = entries.withColumn("finding", F.nullif(F.lower(F.trim("finding_id")), F.lit(""))).drop("finding_id")
+    told = ["target_id", "dedup_key", "first_seen"]
+    names = s.where(F.col("finding").isNotNull()).dropna(subset=told).groupBy(*told).agg(F.min("finding").alias("named"))
+    bare = s.where(F.col("finding").isNull())
+    own = F.when(F.col("dedup_key").isNull() | F.col("first_seen").isNull(), F.concat(F.lit("row "), F.col("delivery_id").cast("string")))
+    key = F.concat_ws(" ", F.lit("key"), F.col("first_seen").cast("string"), F.col("dedup_key"))
+    bare = bare.join(names, told, "left").withColumn("finding", F.coalesce(F.col("named"), own, key)).select(*s.columns)
+    return s.where(F.col("finding").isNotNull()).unionByName(bare)
+
+
 def lifecycle_summary(entries: DataFrame, after: int, watermark: int, keys: list[str], seq: str = "seq") -> DataFrame:
     """Last entry at or before the watermark of each finding touched in (after, watermark]."""
     rest = [c for c in entries.columns if c not in keys]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.changes import apply_changes
 from tidewell.operators.dedup import further_copies
+from tidewell.operators.findings import with_finding
 from tidewell.operators.hierarchy import hierarchy, paths, standing_links
 from tidewell.operators.logentries import log_entries
 from tidewell.operators.snapshots import canonical_json, follow, snapshot_changes
@@ -67,15 +68,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "summary_entries").select("delivery_id", "recv_ms", "target_id", "epoch", "seq", "dedup_key", "first_seen", F.nullif(F.lower(F.trim("finding_id")), F.lit("")).alias("finding"))
-    told = ["target_id", "dedup_key", "first_seen"]
-    names = s.where(F.col("finding").isNotNull()).dropna(subset=told).groupBy(*told).agg(F.min("finding").alias("named"))
-    bare = s.where(F.col("finding").isNull())
-    # without a finding_id and without one of its substitutes, a row stands for itself
-    own = F.when(F.col("dedup_key").isNull() | F.col("first_seen").isNull(), F.concat(F.lit("row "), F.col("delivery_id").cast("string")))
-    key = F.concat_ws(" ", F.lit("key"), F.col("first_seen").cast("string"), F.col("dedup_key"))
-    bare = bare.join(names, told, "left").withColumn("finding", F.coalesce(F.col("named"), own, key)).select(*s.columns)
-    rows = s.where(F.col("finding").isNotNull()).unionByName(bare)
+    rows = with_finding(table(spark, sf_dir, "summary_entries").select("delivery_id", "recv_ms", "target_id", "epoch", "seq", "dedup_key", "first_seen", "finding_id"))
     return further_copies(rows, [F.col("target_id"), F.col("epoch"), F.col("seq"), F.col("finding")], rank="recv_ms", row_id="delivery_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.alerts import timeline, transitions
-from tidewell.operators.findings import notifications
+from tidewell.operators.findings import notifications, with_finding
 from tidewell.plans import cel, promql
 from tidewell.sources.logs import newest_evidence
 from tidewell.sources.tables import event_lines, event_samples, micros
@@ -45,7 +45,7 @@ SELECT namespace, count(*) FILTER (number AND many AND rest) AS hold, count(*) F
 @query
 def finding_current(spark: SparkSession, d: str) -> DataFrame:
     """Current state of each finding: its last record wins."""
-    s = table(spark, d, "summary_entries").where(F.col("finding_id").isNotNull()).withColumn("finding", F.lower(F.trim("finding_id")))
+    s = with_finding(table(spark, d, "summary_entries"))
     last = s.groupBy("target_id", "epoch", "finding").agg(F.max(F.struct("seq", "recv_ms", "delivery_id", "state")).alias("l"), F.count("*").alias("deliveries"))
     return last.select("target_id", "epoch", "finding", "l.seq", "l.state", "deliveries")
 
@@ -57,7 +57,7 @@ FROM summary_entries WHERE finding_id IS NOT NULL GROUP BY target_id, epoch, low
 @query
 def finding_notifications(spark: SparkSession, d: str) -> DataFrame:
     """First firing of each finding above a watermark."""
-    s = table(spark, d, "summary_entries").where(F.col("finding_id").isNotNull()).withColumn("finding", F.lower(F.trim("finding_id")))
+    s = with_finding(table(spark, d, "summary_entries"))
     return notifications(s, 20, ["target_id", "epoch", "finding"])
 
 
