@@ -1,5 +1,6 @@
 """Queries that answer for all of their tables, beside their SQL with its cut lifted."""
 
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -7,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import canon, duck
+from tidewell import queries_engine as engine
 from tidewell.operators.findings import with_finding
 
 SMALL = "/root/testdata/sf0.001"
@@ -58,3 +60,32 @@ def test_finding_of_a_row_without_finding_id(spark):
     rows = [(1, "t", " F1", "k", 5), (2, "t", None, "k", 5), (3, "t", "  ", "k", 5), (4, "u", None, "k", 5), (5, "t", None, None, 5)]
     got = with_finding(spark.createDataFrame(rows, "delivery_id long, target_id string, finding_id string, dedup_key string, first_seen long"))
     assert {r.delivery_id: r.finding for r in got.collect()} == {1: "f1", 2: "f1", 3: "f1", 4: "key 5 k", 5: "row 5"}
+
+
+GRIDS = [n for n in engine.SQL if n != "logql_lines"]
+
+
+def whole_range(name, sf_dir=SMALL):
+    """The SQL of a query of the engine over all times of its table."""
+    con = duck(sf_dir)
+    if name == "logql_lines":
+        a, b = con.execute("SELECT epoch_us(min(ts)) * 1000, epoch_us(max(ts)) * 1000 + 1 FROM events").fetchone()
+        return lifted(name, (f"ns >= {engine.FROM * 10**9} AND ns < {(engine.FROM + 20 * engine.DAY) * 10**9}", f"ns >= {a} AND ns < {b}"))
+    sql, day = entry.oracle_sql()[name], 86_400 * 10**9
+    if "docker_lines" in sql:
+        a, b = con.execute("SELECT min(time_ns), max(time_ns) FROM docker_lines WHERE log IS NOT NULL").fetchone()
+    else:
+        a, b = con.execute("SELECT epoch_us(min(ts)) * 1000, epoch_us(max(ts)) * 1000 FROM events").fetchone()
+    if "WITH g AS" not in sql:
+        last, end = engine.LOG_DAYS.last, -(-b // day) * day
+        return lifted(name, (f"ns > {last - 27 * day} AND ns <= {last}", f"ns >= {a} AND ns <= {end}"), (f"{last}::BIGINT AS ts_ns", f"{end}::BIGINT AS ts_ns"))
+    start, step, count = re.search(r"SELECT (\d+)::BIGINT \+ i \* (\d+)::BIGINT AS t FROM range\((\d+)\)", sql).groups()
+    a, b, late = (a, b, 0) if name.startswith("logql") else (a // 10**6, b // 10**6, 21_600_000 if name == "promql_quantile_over_time" else 0)
+    begin = -(-a // int(step)) * int(step)
+    n = (-(-(b + late) // int(step)) * int(step) - begin) // int(step) + 1
+    return lifted(name, (f"SELECT {start}::BIGINT + i * {step}::BIGINT AS t FROM range({count})", f"SELECT {begin}::BIGINT + i * {step}::BIGINT AS t FROM range({n})"))
+
+
+@pytest.mark.parametrize("name", [*GRIDS, "logql_lines"])
+def test_grids_cover_the_table(spark, name):
+    agree(spark, name, whole_range(name))

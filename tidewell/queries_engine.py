@@ -13,7 +13,10 @@ from tidewell.sources.tables import container_lines, event_lines, event_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+Source = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]  # lines and the times of the rows
 DAY = 86_400
+HOUR_NS, DAY_NS = 3600 * 10**9, DAY * 10**9
+# the grids of the SQL as it was given; the queries take theirs from the times of their tables
 FROM = 1_704_067_200  # 2024-01-01, the first day of the events
 EVENT_DAYS = logql.Grid.of((FROM + DAY) * 10**9, (FROM + 29 * DAY) * 10**9, DAY * 10**9)
 EVENT_HOURS = promql.Grid.of((FROM + DAY) * 1000, (FROM + 29 * DAY) * 1000, 6 * 3_600_000)
@@ -33,22 +36,48 @@ def rounded(v: Column) -> Column:
     return F.round(v, 9)
 
 
-def log_metric(name: str, text: str, grid: logql.Grid, lines: Callable[[SparkSession, str], DataFrame], names: tuple[str, ...], sql: str) -> None:
-    QUERIES[name] = lambda spark, d: shown(logql.metric_query(lines(spark, d), text, grid), "ts_ns", *names)
-    SQL[name] = sql
+def span(times: DataFrame) -> tuple[int, int]:
+    """First and last of the times in the only column; zeros if there are none."""
+    first, last = times.agg(*[f(times.columns[0]) for f in (F.min, F.max)]).first()
+    return (0, 0) if first is None else (first, last)
 
 
-def prom(name: str, text: str, names: tuple[str, ...], sql: str, grid: promql.Grid = EVENT_HOURS) -> None:
-    QUERIES[name] = lambda spark, d: shown(promql.query(event_samples(table(spark, d, "events")), text, grid), "ts_ms", *names)
-    SQL[name] = sql
+def up(time: int, step: int) -> int:
+    return -(-time // step) * step
 
 
-def of_events(spark: SparkSession, d: str) -> DataFrame:
-    return event_lines(table(spark, d, "events"))
+def log_metric(name: str, text: str, step: int | None, source: Source, names: tuple[str, ...], sql: str) -> None:
+    """A metric query over all lines of a table: at each step, or once with ``[all]`` in whole days up to the end of the last."""
 
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        lines, times = source(spark, d)
+        first, last = span(times)
+        end = up(last, step or DAY_NS)
+        grid = logql.Grid.of(up(first, step), end, step) if step else logql.Grid(end)
+        return shown(logql.metric_query(lines, text.replace("[all]", f"[{(end - first) // DAY_NS + 1}d]"), grid), "ts_ns", *names)
 
-def of_containers(spark: SparkSession, d: str) -> DataFrame:
-    return container_lines(table(spark, d, "docker_lines"))
+    QUERIES[name], SQL[name] = run, sql
+
+
+def prom(name: str, text: str, names: tuple[str, ...], sql: str, offset_ms: int = 0) -> None:
+    """A query each six hours until all events have been in its windows."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        samples, step = event_samples(table(spark, d, "events")), EVENT_HOURS.step
+        first, last = span(samples.select("ts_ms"))
+        return shown(promql.query(samples, text, promql.Grid.of(up(first, step), up(last + offset_ms, step), step)), "ts_ms", *names)
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+def of_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = event_lines(table(spark, d, "events"))
+    return lines, lines.select("ts_ns")
+
+
+def of_containers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "docker_lines")
+    return container_lines(rows), rows.where(F.col("log").isNotNull()).select("time_ns")
 
 
 def _days(grid: logql.Grid) -> str:
@@ -65,42 +94,44 @@ def _label(name: str) -> str:
 
 
 log_metric(
-    "logql_count_over_time", 'sum by (event_type) (count_over_time({source="events"} |~ "7" != "77" [1d]))', EVENT_DAYS, of_events, ("event_type",),
+    "logql_count_over_time", 'sum by (event_type) (count_over_time({source="events"} |~ "7" != "77" [1d]))', DAY_NS, of_events, ("event_type",),
     f"WITH g AS ({_days(EVENT_DAYS)}), {_EVENTS} SELECT event_type, t AS ts_ns, count(*)::DOUBLE AS value FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t WHERE line LIKE '%7%' AND line NOT LIKE '%77%' GROUP BY ALL",
 )
 log_metric(
-    "logql_json_rate", 'sum by (event_type) (rate({source="events"} | json | k > 50 and k <= 90 [6h])) * 3600', logql.Grid.of((FROM + DAY) * 10**9, (FROM + 29 * DAY) * 10**9, 6 * 3600 * 10**9), of_events, ("event_type",),
+    "logql_json_rate", 'sum by (event_type) (rate({source="events"} | json | k > 50 and k <= 90 [6h])) * 3600', 6 * HOUR_NS, of_events, ("event_type",),
     f"WITH g AS ({_days(logql.Grid.of((FROM + DAY) * 10**9, (FROM + 29 * DAY) * 10**9, 6 * 3600 * 10**9))}), {_EVENTS} SELECT event_type, t AS ts_ns, round(count(*) / 6.0, 9) AS value FROM g JOIN e ON ns > t - 21600000000000 AND ns <= t WHERE (line->>'k')::DOUBLE > 50 AND (line->>'k')::DOUBLE <= 90 GROUP BY ALL",
 )
 log_metric(
-    "logql_topk_bytes", 'topk(2, sum by (event_type) (bytes_over_time({source="events"} [1d])))', EVENT_DAYS, of_events, ("event_type",),
+    "logql_topk_bytes", 'topk(2, sum by (event_type) (bytes_over_time({source="events"} [1d])))', DAY_NS, of_events, ("event_type",),
     f"WITH g AS ({_days(EVENT_DAYS)}), {_EVENTS}, s AS (SELECT event_type, t, sum(strlen(line))::DOUBLE AS v FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC, event_type) AS n FROM s) SELECT event_type, t AS ts_ns, v AS value FROM r WHERE n <= 2",
 )
 log_metric(
-    "logql_aggregations", 'max without (event_type) (avg by (event_type, source) (count_over_time({source="events", event_type!~"view|click"} [1d]))) % 100', EVENT_DAYS, of_events, ("source",),
+    "logql_aggregations", 'max without (event_type) (avg by (event_type, source) (count_over_time({source="events", event_type!~"view|click"} [1d]))) % 100', DAY_NS, of_events, ("source",),
     f"WITH g AS ({_days(EVENT_DAYS)}), {_EVENTS}, s AS (SELECT event_type, t, count(*)::DOUBLE AS v FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t WHERE event_type NOT IN ('view', 'click') GROUP BY ALL) SELECT 'events' AS source, t AS ts_ns, max(v) % 100 AS value FROM s GROUP BY t",
 )
 log_metric(
-    "logql_container_errors", 'sum by (namespace, stream) (count_over_time({namespace=~".+"} |= "error" [1d])) > 1', LOG_DAYS, of_containers, ("namespace", "stream"),
+    "logql_container_errors", 'sum by (namespace, stream) (count_over_time({namespace=~".+"} |= "error" [1d])) > 1', DAY_NS, of_containers, ("namespace", "stream"),
     f"WITH g AS ({_days(LOG_DAYS)}), {_ROWS} SELECT {_label('namespace')} AS namespace, coalesce(stream, '') AS stream, t AS ts_ns, count(*)::DOUBLE AS value FROM g JOIN l ON ns > t - 86400000000000 AND ns <= t WHERE {_label('namespace')} <> '' AND line LIKE '%error%' GROUP BY ALL HAVING count(*) > 1",
 )
 log_metric(
-    "logql_pattern_status", r'sum by (method, status) (count_over_time({source=~".+"} | pattern "<ip> - - [<_>] \"<method> <path> HTTP/<_>\" <status> <size> \"<_>" | size > 1KB | status >= 400 [27d]))', logql.Grid(LOG_DAYS.last), of_containers, ("method", "status"),
+    "logql_pattern_status", r'sum by (method, status) (count_over_time({source=~".+"} | pattern "<ip> - - [<_>] \"<method> <path> HTTP/<_>\" <status> <size> \"<_>" | size > 1KB | status >= 400 [all]))', None, of_containers, ("method", "status"),
     f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(line, '^(.*?) - - \\[.*?\\] \"(.*?) (.*?) HTTP/.*?\" (.*?) (.*?) \"', ['ip', 'method', 'path', 'status', 'size']) AS m FROM l) SELECT m.method AS method, m.status AS status, {LOG_DAYS.last}::BIGINT AS ts_ns, count(*)::DOUBLE AS value FROM p WHERE ns > {LOG_DAYS.last - 27 * DAY * 10**9} AND ns <= {LOG_DAYS.last} AND try_cast(m.size AS DOUBLE) > 1000 AND try_cast(m.status AS DOUBLE) >= 400 GROUP BY ALL",
 )
 log_metric(
-    "logql_regexp_level", r'sum by (lvl) (count_over_time({container=~"[a-m].*"} | regexp `^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ (?P<lvl>[A-Z]+)` | lvl!="" [27d]))', logql.Grid(LOG_DAYS.last), of_containers, ("lvl",),
+    "logql_regexp_level", r'sum by (lvl) (count_over_time({container=~"[a-m].*"} | regexp `^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ (?P<lvl>[A-Z]+)` | lvl!="" [all]))', None, of_containers, ("lvl",),
     f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(line, '^\\d{{4}}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d,\\d+ ([A-Z]+)', 1) AS lvl FROM l WHERE regexp_full_match({_label('container')}, '[a-m].*')) SELECT lvl, {LOG_DAYS.last}::BIGINT AS ts_ns, count(*)::DOUBLE AS value FROM p WHERE lvl <> '' AND ns > {LOG_DAYS.last - 27 * DAY * 10**9} AND ns <= {LOG_DAYS.last} GROUP BY ALL",
 )
 log_metric(
-    "logql_logfmt_level", 'sum by (lvl) (count_over_time({source=~".+"} | logfmt | lvl=~"(?i)warn.*|wrn" [27d]))', logql.Grid(LOG_DAYS.last), of_containers, ("lvl",),
+    "logql_logfmt_level", 'sum by (lvl) (count_over_time({source=~".+"} | logfmt | lvl=~"(?i)warn.*|wrn" [all]))', None, of_containers, ("lvl",),
     f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(regexp_replace(line, '\"(\\\\.|[^\"\\\\])*\"', '\"\"', 'g'), '(?:^|\\s)lvl=([^\\s=\"]+)(?:\\s|$)', 1) AS lvl FROM l) SELECT lvl, {LOG_DAYS.last}::BIGINT AS ts_ns, count(*)::DOUBLE AS value FROM p WHERE regexp_full_match(lvl, '(?i)warn.*|wrn') AND ns > {LOG_DAYS.last - 27 * DAY * 10**9} AND ns <= {LOG_DAYS.last} GROUP BY ALL",
 )
 
 
 def logql_lines(spark: SparkSession, d: str) -> DataFrame:
     """The newest lines of errors, within both limits of a log query."""
-    got = logql.log_query(of_events(spark, d), '{event_type="error"} |= "9"', FROM * 10**9, (FROM + 20 * DAY) * 10**9, limit=200, max_bytes=1500)
+    lines, times = of_events(spark, d)
+    first, last = span(times)
+    got = logql.log_query(lines, '{event_type="error"} |= "9"', first, last + 1, limit=200, max_bytes=1500)
     return got.select(L.value_of(F.col("labels"), "event_type").alias("event_type"), "ts_ns", "line")
 
 
@@ -118,7 +149,7 @@ w AS (SELECT g.t, s.* FROM g JOIN s ON s.ms > g.t - {offset_ms + window_ms} AND
 
 prom("promql_lookback", "sum by (event_type) (event_value) or vector(0) * 1", ("event_type",), _prom_rows(300_000, ", l AS (SELECT event_type, t, max({'ms': ms, 'v': v}).v AS v FROM w GROUP BY ALL) SELECT event_type, t AS ts_ms, round(v, 9) AS value FROM l UNION ALL SELECT '', t, 0 FROM g"))
 prom("promql_avg_over_time", "avg_over_time(event_value[12h]) > 50", ("event_type",), _prom_rows(43_200_000, "SELECT event_type, t AS ts_ms, round(avg(v), 9) AS value FROM w GROUP BY ALL HAVING avg(v) > 50"))
-prom("promql_quantile_over_time", 'quantile_over_time(0.95, event_value{event_type=~"e.*|c.*"}[1d] offset 6h)', ("event_type",), _prom_rows(86_400_000, "SELECT event_type, t AS ts_ms, round(quantile_cont(v, 0.95), 9) AS value FROM w WHERE event_type SIMILAR TO 'e.*|c.*' GROUP BY ALL", offset_ms=21_600_000))
+prom("promql_quantile_over_time", 'quantile_over_time(0.95, event_value{event_type=~"e.*|c.*"}[1d] offset 6h)', ("event_type",), _prom_rows(86_400_000, "SELECT event_type, t AS ts_ms, round(quantile_cont(v, 0.95), 9) AS value FROM w WHERE event_type SIMILAR TO 'e.*|c.*' GROUP BY ALL", offset_ms=21_600_000), offset_ms=21_600_000)
 prom("promql_ratio", "count by (event_type) (event_value) / ignoring (event_type) group_left () count(event_value) + on () group_left () vector(1)", ("event_type",), _prom_rows(300_000, ", l AS (SELECT DISTINCT event_type, t FROM w) SELECT event_type, t AS ts_ms, round(1 / (count(*) OVER (PARTITION BY t)) + 1, 9) AS value FROM l"))
 prom("promql_share_of_count", "sum by (event_type) (count_over_time(event_value[1d])) / scalar(sum(count_over_time(event_value[1d])))", ("event_type",), _prom_rows(86_400_000, ", l AS (SELECT event_type, t, count(*) AS n FROM w GROUP BY ALL) SELECT event_type, t AS ts_ms, round(n / sum(n) OVER (PARTITION BY t), 9) AS value FROM l"))
 prom("promql_topk", "topk(2, max_over_time(event_value[6h]))", ("event_type",), _prom_rows(21_600_000, ", l AS (SELECT event_type, t, max(v) AS v FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC, event_type) AS n FROM l) SELECT event_type, t AS ts_ms, round(v, 9) AS value FROM r WHERE n <= 2"))
