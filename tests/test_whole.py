@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from tests.oracle import canon, duck
 from tidewell import queries_engine as engine
 from tidewell.operators.findings import with_finding
+from tidewell.operators.logentries import log_entries, mine_layouts
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables here")
@@ -89,3 +90,24 @@ def whole_range(name, sf_dir=SMALL):
 @pytest.mark.parametrize("name", [*GRIDS, "logql_lines"])
 def test_grids_cover_the_table(spark, name):
     agree(spark, name, whole_range(name))
+
+
+LOG = "source string, seq long, log string, stream string, time_ns long, labels string"
+
+
+def log_rows(source, texts):
+    return [(source, i, t, "stdout", 10**9, "x") for i, t in enumerate(texts)]
+
+
+def test_keys_of_a_small_file_beside_a_large_one(spark):
+    rows = log_rows("hot", ['{"main":"x","at":1789651869,"lvl":"info"}\n'] * 2100)
+    rows += log_rows("small", ['{"stamp":"2026-09-17T13:31:09Z","sev":"warn","unit":"spool.writer"}\n'] * 2)
+    rows += log_rows("numbers", [f'{{"t":"2026-09-17T13:31:09Z","grade":{g},"text":"a b"}}\n' for g in (10, 30, 50)])
+    got = {(r.source, r.first_seq): (r.entry_sec, r.level, r.component) for r in log_entries(spark.createDataFrame(rows, LOG)).collect()}
+    assert got["small", 1] == (1789651869, "warn", "spool.writer")
+    assert [got["numbers", i][:2] for i in range(3)] == [(1789651869, x) for x in ("trace", "info", "error")]
+
+
+def test_half_a_key_has_no_role(spark):
+    rows = log_rows("a", ["level=info ts=2026-09-08T04:27:52Z msg=\"a b\"\n"] * 30 + ["vel=info msg=\"a b\"\n"])
+    assert mine_layouts(spark.createDataFrame(rows, LOG))["roles"]["pairs"]["L"] == ["level"]

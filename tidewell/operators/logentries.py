@@ -270,10 +270,10 @@ def _mine(batches):
                 except ValueError:
                     pairs = ()
                 for k, v in pairs:
-                    keys["json", k, _kind_of(v)] += 1
+                    keys[source, "json", k, _kind_of(v)] += 1
             elif first == " " and (m := JSON_ROW.match(line)):
                 try:
-                    keys["json", m[1], _kind_of(json.loads(m[2]))] += 1
+                    keys[source, "json", m[1], _kind_of(json.loads(m[2]))] += 1
                 except ValueError:
                     pass
             elif first.isspace():
@@ -283,7 +283,7 @@ def _mine(batches):
                 if any(t in "TL" for _, t in kinds):
                     per[source, -2] += 1
                 for k, t in kinds:
-                    keys["pairs", k, t] += 1
+                    keys[source, "pairs", k, t] += 1
             else:
                 alike = VARIES.sub("0", line)
                 at = known.get(alike)
@@ -291,7 +291,7 @@ def _mine(batches):
                     at = known[alike] = miner.add(tokens_of(line))
                 per[source, at] += 1
     rows = [("tpl", s or "", {-1: "{", -2: "="}.get(k) or SEP.join(miner.templates[k]), n) for (s, k), n in per.items()]
-    rows += [("key", form, f"{k}{SEP}{t}", n) for (form, k, t), n in keys.items()]
+    rows += [("key", s or "", f"{form}{SEP}{k}{SEP}{t}", n) for (s, form, k, t), n in keys.items()]
     yield pa.RecordBatch.from_pylist([dict(zip(("kind", "a", "b", "n"), r)) for r in rows], schema=pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
 
 
@@ -308,12 +308,46 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"b": rows["b"], "head": good})
 
 
+def _file_roles(rows: pd.DataFrame) -> pd.DataFrame:
+    """Role of each key of one file and form: T, L, I, M; N if all its values are level numbers; - if none."""
+    form, out = rows["form"].iloc[0], []
+    seen = {key: dict(zip(g["type"], g["n"])) for key, g in rows.groupby("key")}
+    total = {key: sum(types.values()) for key, types in seen.items()}
+    most = max(total.values())
+    for key, types in seen.items():
+        n, words, numbers = total[key], types.get("L", 0), types.get("N", 0)
+        # what is left of a key whose row was cut within it is rare and ends another key
+        if n < 0.001 * most or form == "pairs" and any(other != key and other.endswith(key) and n * 20 <= total[other] for other in total):
+            continue
+        best, role = max((types.get("T", 0), "T"), (words + numbers if words else 0, "L"), (types.get("I", 0), "I"), (types.get("M", 0), "M"))
+        if best < 0.9 * n:
+            role = "N" if form == "json" and numbers == n and n >= 0.9 * most else "-"
+        out.append((form, key, role, n))
+    return pd.DataFrame(out, columns=["form", "key", "role", "rows"])
+
+
+def _key_role(r) -> tuple | None:
+    """(form, key, role, whether its values are numbers only, rows) of a key, from its roles in the files that use it.
+
+    It needs most of the files or nine tenths of the rows; for level words, files
+    that have other things under the key (of objects within objects) do not count.
+    """
+    files, rows = ({x: r[f"{x}_{what}"] for x in ("-", *"TLNIM")} for what in ("files", "rows"))
+    words = files["L"] > 0
+    for count in (files, rows):
+        count["L"] += count.pop("N")
+    n, role = max((files[x], x) for x in "TLIM")
+    enough = 2 * n >= sum(files.values()) or rows[role] >= 0.9 * sum(rows.values()) or role == "L" and words
+    return (r["form"], r["key"], role, role == "L" and not words, rows[role]) if n and enough else None
+
+
 def mine_layouts(rows: DataFrame) -> dict:
     """Layouts of all programs: header patterns, and the roles of keys.
 
     Only counts by (file, template) are shuffled; what comes to the driver is one
     row for each layout and each key of JSON and key=value lines that carries a
-    role, which depends on the programs and not on the number of rows.
+    role, which depends on the programs and not on the number of rows.  Keys get
+    their roles by file, so that a large file hides no key of a small one.
     """
     counts = rows.where(F.col("log").isNotNull()).select("source", "log").mapInArrow(_mine, "kind string, a string, b string, n long")
     counts = counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
@@ -327,17 +361,12 @@ def mine_layouts(rows: DataFrame) -> dict:
     share = F.col("n") / F.sum("n").over(Window.partitionBy("a"))
     led = per_file.withColumn("share", share).where(F.col("share") >= SHARE).groupBy("head").agg(F.sum("n").alias("n"))
     found = {r["head"]: r["n"] for r in led.collect()}
-    common = counts.where("kind = 'key'").withColumn("key", F.split("b", SEP)[0]).withColumn("type", F.split("b", SEP)[1])
-    kinds = {t: f"as_{t}" for t in "TLNIM"}
-    total = common.groupBy("a", "key").agg(F.sum("n").alias("rows"), *[F.sum(F.when(F.col("type") == t, F.col("n")).otherwise(0)).alias(c) for t, c in kinds.items()])
+    common = counts.where("kind = 'key'").select("a", F.split("b", SEP).alias("k"), "n").select("a", F.col("k")[0].alias("form"), F.col("k")[1].alias("key"), F.col("k")[2].alias("type"), "n")
+    by_file = common.groupBy("a", "form").applyInPandas(_file_roles, "form string, key string, role string, rows long")
+    merged = by_file.groupBy("form", "key").pivot("role", ["-", *"TLNIM"]).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
     roles: dict[str, dict[str, list[str]]] = {}
-    of_all = F.col("rows") / F.max("rows").over(Window.partitionBy("a"))
-    total = total.withColumn("of_all", of_all).where(F.col("of_all") >= 0.001)  # keys of rows that were cut are rare
-    carry = total.where(F.greatest("as_T", F.col("as_L") + F.col("as_N"), "as_I", "as_M") >= 0.9 * F.col("rows")).orderBy(F.desc("rows"), "key")
-    for r in carry.collect():
-        role = max((("T", r["as_T"]), ("L", r["as_L"] + r["as_N"] if r["as_L"] else 0), ("I", r["as_I"]), ("M", r["as_M"])), key=lambda x: x[1])
-        if role[1]:
-            roles.setdefault(r["a"], {}).setdefault(role[0], []).append(r["key"])
+    for form, key, role, _, _ in sorted(filter(None, map(_key_role, merged.na.fill(0).collect())), key=lambda x: (x[3], -x[4], x[1])):
+        roles.setdefault(form, {}).setdefault(role, []).append(key)
     plain = sorted((h for h in found if h not in "{="), key=lambda h: (-found[h], h))
     return {"patterns": [head_pattern(h) for h in plain], "heads": plain, "json": "{" in found, "pairs": "=" in found, "roles": roles}
 
