@@ -72,14 +72,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return further_copies(rows, [F.col("target_id"), F.col("epoch"), F.col("seq"), F.col("finding")], rank="recv_ms", row_id="delivery_id")
 
 
-SQL["p3_found"] = """
-WITH s AS (SELECT delivery_id, recv_ms, target_id, epoch, seq, dedup_key, first_seen, nullif(lower(trim(finding_id)), '') AS f FROM summary_entries),
+FINDINGS_SQL = """
+WITH s AS (SELECT *, nullif(lower(trim(finding_id)), '') AS f FROM summary_entries),
 n AS (SELECT target_id, dedup_key, first_seen, min(f) AS named FROM s WHERE f IS NOT NULL AND dedup_key IS NOT NULL GROUP BY ALL),
 r AS (
-  SELECT s.delivery_id, s.recv_ms, s.target_id, s.epoch, s.seq,
-    coalesce(s.f, n.named, CASE WHEN s.dedup_key IS NULL OR s.first_seen IS NULL THEN 'row ' || s.delivery_id END, 'key ' || s.first_seen || ' ' || s.dedup_key) AS f
-  FROM s LEFT JOIN n ON s.target_id = n.target_id AND s.dedup_key = n.dedup_key AND s.first_seen = n.first_seen),
-k AS (SELECT delivery_id, row_number() OVER (PARTITION BY target_id, epoch, seq, f ORDER BY recv_ms, delivery_id) AS n FROM r)
+  SELECT s.* EXCLUDE (f), coalesce(s.f, n.named, CASE WHEN s.dedup_key IS NULL OR s.first_seen IS NULL THEN 'row ' || s.delivery_id END, 'key ' || s.first_seen || ' ' || s.dedup_key) AS finding
+  FROM s LEFT JOIN n ON s.target_id = n.target_id AND s.dedup_key = n.dedup_key AND s.first_seen = n.first_seen)
+"""
+SQL["p3_found"] = FINDINGS_SQL + """, k AS (SELECT delivery_id, row_number() OVER (PARTITION BY target_id, epoch, seq, finding ORDER BY recv_ms, delivery_id) AS n FROM r)
 SELECT delivery_id FROM k WHERE n > 1"""
 
 

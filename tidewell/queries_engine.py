@@ -16,11 +16,7 @@ SQL: dict[str, str] = {}
 Source = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]  # lines and the times of the rows
 DAY = 86_400
 HOUR_NS, DAY_NS = 3600 * 10**9, DAY * 10**9
-# the grids of the SQL as it was given; the queries take theirs from the times of their tables
-FROM = 1_704_067_200  # 2024-01-01, the first day of the events
-EVENT_DAYS = logql.Grid.of((FROM + DAY) * 10**9, (FROM + 29 * DAY) * 10**9, DAY * 10**9)
-EVENT_HOURS = promql.Grid.of((FROM + DAY) * 1000, (FROM + 29 * DAY) * 1000, 6 * 3_600_000)
-LOG_DAYS = logql.Grid.of(1_788_220_800 * 10**9, (1_788_220_800 + 27 * DAY) * 10**9, DAY * 10**9)  # September 2026
+STEP_MS = 6 * 3_600_000  # of the PromQL grids; all grids run over the times of their tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +59,7 @@ def prom(name: str, text: str, names: tuple[str, ...], sql: str, offset_ms: int
     """A query each six hours until all events have been in its windows."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        samples, step = event_samples(table(spark, d, "events")), EVENT_HOURS.step
+        samples, step = event_samples(table(spark, d, "events")), STEP_MS
         first, last = span(samples.select("ts_ms"))
         return shown(promql.query(samples, text, promql.Grid.of(up(first, step), up(last + offset_ms, step), step)), "ts_ms", *names)
 
@@ -80,11 +76,19 @@ def of_containers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return container_lines(rows), rows.where(F.col("log").isNotNull()).select("time_ns")
 
 
-def _days(grid: logql.Grid) -> str:
-    return f"SELECT {grid.start}::BIGINT + i * {grid.step}::BIGINT AS t FROM range({grid.count}) r(i)"
+_EVENTS = "e AS (SELECT event_type, epoch_us(ts) * 1000 AS ns, props AS line, event_id FROM events)"
 
 
-_EVENTS = "e AS (SELECT event_type, epoch_us(ts) * 1000 AS ns, props AS line, event_id FROM events)"
+def _up(time: str, step: int) -> str:
+    return f"(({time}) + {step - 1}) // {step} * {step}"
+
+
+def _days(step: int = DAY_NS, of: str = "e") -> str:
+    """Steps from the first to the last time of a table that was named before."""
+    return f"SELECT unnest(range({_up('min(ns)', step)}, {_up('max(ns)', step)} + 1, {step}::BIGINT)) AS t FROM {of}"
+
+
+_ALL = f"(SELECT {_up('max(ns)', DAY_NS)} FROM l) AS ts_ns"
 _ROWS = """l AS (SELECT source, seq, any_value(rtrim(log, chr(13) || chr(10))) AS line, any_value(stream) AS stream, any_value(time_ns) AS ns,
   any_value(labels) AS labels FROM docker_lines WHERE log IS NOT NULL GROUP BY source, seq)"""
 
@@ -95,35 +99,35 @@ def _label(name: str) -> str:
 
 log_metric(
     "logql_count_over_time", 'sum by (event_type) (count_over_time({source="events"} |~ "7" != "77" [1d]))', DAY_NS, of_events, ("event_type",),
-    f"WITH g AS ({_days(EVENT_DAYS)}), {_EVENTS} SELECT event_type, t AS ts_ns, count(*)::DOUBLE AS value FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t WHERE line LIKE '%7%' AND line NOT LIKE '%77%' GROUP BY ALL",
+    f"WITH {_EVENTS}, g AS ({_days()}) SELECT event_type, t AS ts_ns, count(*)::DOUBLE AS value FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t WHERE line LIKE '%7%' AND line NOT LIKE '%77%' GROUP BY ALL",
 )
 log_metric(
     "logql_json_rate", 'sum by (event_type) (rate({source="events"} | json | k > 50 and k <= 90 [6h])) * 3600', 6 * HOUR_NS, of_events, ("event_type",),
-    f"WITH g AS ({_days(logql.Grid.of((FROM + DAY) * 10**9, (FROM + 29 * DAY) * 10**9, 6 * 3600 * 10**9))}), {_EVENTS} SELECT event_type, t AS ts_ns, round(count(*) / 6.0, 9) AS value FROM g JOIN e ON ns > t - 21600000000000 AND ns <= t WHERE (line->>'k')::DOUBLE > 50 AND (line->>'k')::DOUBLE <= 90 GROUP BY ALL",
+    f"WITH {_EVENTS}, g AS ({_days(6 * HOUR_NS)}) SELECT event_type, t AS ts_ns, round(count(*) / 6.0, 9) AS value FROM g JOIN e ON ns > t - 21600000000000 AND ns <= t WHERE (line->>'k')::DOUBLE > 50 AND (line->>'k')::DOUBLE <= 90 GROUP BY ALL",
 )
 log_metric(
     "logql_topk_bytes", 'topk(2, sum by (event_type) (bytes_over_time({source="events"} [1d])))', DAY_NS, of_events, ("event_type",),
-    f"WITH g AS ({_days(EVENT_DAYS)}), {_EVENTS}, s AS (SELECT event_type, t, sum(strlen(line))::DOUBLE AS v FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC, event_type) AS n FROM s) SELECT event_type, t AS ts_ns, v AS value FROM r WHERE n <= 2",
+    f"WITH {_EVENTS}, g AS ({_days()}), s AS (SELECT event_type, t, sum(strlen(line))::DOUBLE AS v FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC, event_type) AS n FROM s) SELECT event_type, t AS ts_ns, v AS value FROM r WHERE n <= 2",
 )
 log_metric(
     "logql_aggregations", 'max without (event_type) (avg by (event_type, source) (count_over_time({source="events", event_type!~"view|click"} [1d]))) % 100', DAY_NS, of_events, ("source",),
-    f"WITH g AS ({_days(EVENT_DAYS)}), {_EVENTS}, s AS (SELECT event_type, t, count(*)::DOUBLE AS v FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t WHERE event_type NOT IN ('view', 'click') GROUP BY ALL) SELECT 'events' AS source, t AS ts_ns, max(v) % 100 AS value FROM s GROUP BY t",
+    f"WITH {_EVENTS}, g AS ({_days()}), s AS (SELECT event_type, t, count(*)::DOUBLE AS v FROM g JOIN e ON ns > t - 86400000000000 AND ns <= t WHERE event_type NOT IN ('view', 'click') GROUP BY ALL) SELECT 'events' AS source, t AS ts_ns, max(v) % 100 AS value FROM s GROUP BY t",
 )
 log_metric(
     "logql_container_errors", 'sum by (namespace, stream) (count_over_time({namespace=~".+"} |= "error" [1d])) > 1', DAY_NS, of_containers, ("namespace", "stream"),
-    f"WITH g AS ({_days(LOG_DAYS)}), {_ROWS} SELECT {_label('namespace')} AS namespace, coalesce(stream, '') AS stream, t AS ts_ns, count(*)::DOUBLE AS value FROM g JOIN l ON ns > t - 86400000000000 AND ns <= t WHERE {_label('namespace')} <> '' AND line LIKE '%error%' GROUP BY ALL HAVING count(*) > 1",
+    f"WITH {_ROWS}, g AS ({_days(of='l')}) SELECT {_label('namespace')} AS namespace, coalesce(stream, '') AS stream, t AS ts_ns, count(*)::DOUBLE AS value FROM g JOIN l ON ns > t - 86400000000000 AND ns <= t WHERE {_label('namespace')} <> '' AND line LIKE '%error%' GROUP BY ALL HAVING count(*) > 1",
 )
 log_metric(
     "logql_pattern_status", r'sum by (method, status) (count_over_time({source=~".+"} | pattern "<ip> - - [<_>] \"<method> <path> HTTP/<_>\" <status> <size> \"<_>" | size > 1KB | status >= 400 [all]))', None, of_containers, ("method", "status"),
-    f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(line, '^(.*?) - - \\[.*?\\] \"(.*?) (.*?) HTTP/.*?\" (.*?) (.*?) \"', ['ip', 'method', 'path', 'status', 'size']) AS m FROM l) SELECT m.method AS method, m.status AS status, {LOG_DAYS.last}::BIGINT AS ts_ns, count(*)::DOUBLE AS value FROM p WHERE ns > {LOG_DAYS.last - 27 * DAY * 10**9} AND ns <= {LOG_DAYS.last} AND try_cast(m.size AS DOUBLE) > 1000 AND try_cast(m.status AS DOUBLE) >= 400 GROUP BY ALL",
+    f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(line, '^(.*?) - - \\[.*?\\] \"(.*?) (.*?) HTTP/.*?\" (.*?) (.*?)(?: \"|$)', ['ip', 'method', 'path', 'status', 'size']) AS m FROM l) SELECT m.method AS method, m.status AS status, {_ALL}, count(*)::DOUBLE AS value FROM p WHERE try_cast(m.size AS DOUBLE) > 1000 AND try_cast(m.status AS DOUBLE) >= 400 GROUP BY ALL",
 )
 log_metric(
     "logql_regexp_level", r'sum by (lvl) (count_over_time({container=~"[a-m].*"} | regexp `^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+ (?P<lvl>[A-Z]+)` | lvl!="" [all]))', None, of_containers, ("lvl",),
-    f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(line, '^\\d{{4}}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d,\\d+ ([A-Z]+)', 1) AS lvl FROM l WHERE regexp_full_match({_label('container')}, '[a-m].*')) SELECT lvl, {LOG_DAYS.last}::BIGINT AS ts_ns, count(*)::DOUBLE AS value FROM p WHERE lvl <> '' AND ns > {LOG_DAYS.last - 27 * DAY * 10**9} AND ns <= {LOG_DAYS.last} GROUP BY ALL",
+    f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(line, '^\\d{{4}}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d,\\d+ ([A-Z]+)', 1) AS lvl FROM l WHERE regexp_full_match({_label('container')}, '[a-m].*')) SELECT lvl, {_ALL}, count(*)::DOUBLE AS value FROM p WHERE lvl <> '' GROUP BY ALL",
 )
 log_metric(
     "logql_logfmt_level", 'sum by (lvl) (count_over_time({source=~".+"} | logfmt | lvl=~"(?i)warn.*|wrn" [all]))', None, of_containers, ("lvl",),
-    f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(regexp_replace(line, '\"(\\\\.|[^\"\\\\])*\"', '\"\"', 'g'), '(?:^|\\s)lvl=([^\\s=\"]+)(?:\\s|$)', 1) AS lvl FROM l) SELECT lvl, {LOG_DAYS.last}::BIGINT AS ts_ns, count(*)::DOUBLE AS value FROM p WHERE regexp_full_match(lvl, '(?i)warn.*|wrn') AND ns > {LOG_DAYS.last - 27 * DAY * 10**9} AND ns <= {LOG_DAYS.last} GROUP BY ALL",
+    f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(regexp_replace(line, '\"(\\\\.|[^\"\\\\])*\"', '\"\"', 'g'), '(?:^|\\s)lvl=([^\\s=\"]+)(?:\\s|$)', 1) AS lvl FROM l) SELECT lvl, {_ALL}, count(*)::DOUBLE AS value FROM p WHERE regexp_full_match(lvl, '(?i)warn.*|wrn') GROUP BY ALL",
 )
 
 
@@ -136,14 +140,13 @@ def logql_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["logql_lines"] = logql_lines
-SQL["logql_lines"] = f"""WITH {_EVENTS}, n AS (SELECT * FROM e WHERE event_type = 'error' AND line LIKE '%9%' AND ns >= {FROM * 10**9} AND ns < {(FROM + 20 * DAY) * 10**9} ORDER BY ns DESC, event_id DESC LIMIT 200),
+SQL["logql_lines"] = f"""WITH {_EVENTS}, n AS (SELECT * FROM e WHERE event_type = 'error' AND line LIKE '%9%' ORDER BY ns DESC, event_id DESC LIMIT 200),
 s AS (SELECT *, sum(strlen(line)) OVER (ORDER BY ns DESC, event_id DESC) AS size FROM n) SELECT event_type, ns AS ts_ns, line FROM s WHERE size <= 1500"""
 
 
 def _prom_rows(window_ms: int, body: str, where: str = "", offset_ms: int = 0) -> str:
-    g = EVENT_HOURS
-    return f"""WITH g AS (SELECT {g.start}::BIGINT + i * {g.step}::BIGINT AS t FROM range({g.count}) r(i)),
-s AS (SELECT event_type, epoch_us(ts) // 1000 AS ms, value AS v FROM events),
+    return f"""WITH s AS (SELECT event_type, epoch_us(ts) // 1000 AS ms, value AS v FROM events),
+g AS (SELECT unnest(range({_up('min(ms)', STEP_MS)}, {_up(f'max(ms) + {offset_ms}', STEP_MS)} + 1, {STEP_MS}::BIGINT)) AS t FROM s),
 w AS (SELECT g.t, s.* FROM g JOIN s ON s.ms > g.t - {offset_ms + window_ms} AND s.ms <= g.t - {offset_ms} {where}) {body}"""
 
 

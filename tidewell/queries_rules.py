@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators.alerts import timeline, transitions
 from tidewell.operators.findings import notifications, with_finding
 from tidewell.plans import cel, promql
+from tidewell.queries_core import FINDINGS_SQL
 from tidewell.sources.logs import newest_evidence
 from tidewell.sources.tables import event_lines, event_samples, micros
 
@@ -50,8 +51,7 @@ def finding_current(spark: SparkSession, d: str) -> DataFrame:
     return last.select("target_id", "epoch", "finding", "l.seq", "l.state", "deliveries")
 
 
-SQL["finding_current"] = """SELECT target_id, epoch, lower(trim(finding_id)) AS finding, max(seq) AS seq, arg_max(state, {'s': seq, 'r': recv_ms, 'd': delivery_id}) AS state, count(*) AS deliveries
-FROM summary_entries WHERE finding_id IS NOT NULL GROUP BY target_id, epoch, lower(trim(finding_id))"""
+SQL["finding_current"] = FINDINGS_SQL + "SELECT target_id, epoch, finding, max(seq) AS seq, arg_max(state, {'s': seq, 'r': recv_ms, 'd': delivery_id}) AS state, count(*) AS deliveries FROM r GROUP BY ALL"
 
 
 @query
@@ -61,7 +61,7 @@ def finding_notifications(spark: SparkSession, d: str) -> DataFrame:
     return notifications(s, 20, ["target_id", "epoch", "finding"])
 
 
-SQL["finding_notifications"] = "SELECT target_id, epoch, lower(trim(finding_id)) AS finding, min(seq) AS seq FROM summary_entries WHERE finding_id IS NOT NULL AND state = 'firing' AND seq > 20 GROUP BY ALL"
+SQL["finding_notifications"] = FINDINGS_SQL + "SELECT target_id, epoch, finding, min(seq) AS seq FROM r WHERE state = 'firing' AND seq > 20 GROUP BY ALL"
 
 
 @query

@@ -102,7 +102,7 @@ def graph_reach(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["graph_reach"] = f"""WITH RECURSIVE {_EDGES}, g AS (SELECT epoch, from_uid AS a, to_uid AS b FROM e WHERE type IN ('owns', 'runs-on')),
-w AS (SELECT DISTINCT epoch, from_uid AS start, from_uid AS uid, 0 AS depth FROM e WHERE from_uid LIKE '0%'
+w AS (SELECT DISTINCT epoch, from_uid AS start, from_uid AS uid, 0 AS depth FROM e
   UNION SELECT w.epoch, w.start, g.b, w.depth + 1 FROM w JOIN g ON g.epoch = w.epoch AND g.a = w.uid WHERE w.depth < 3),
 m AS (SELECT epoch, start, uid, min(depth) AS depth FROM w GROUP BY ALL)
 SELECT epoch, start, count(*) AS reached, max(depth)::INT AS deepest FROM m GROUP BY ALL"""
