@@ -86,8 +86,22 @@ def test_index_admits_once(spark):
     assert index.admit(more).count() == 0 and len(index.runs) <= 3
 
 
+def test_index_persists(spark, tmp_path):
+    def rows(n):
+        return spark.range(n).select(identifier(F.col("id")).alias("id"), F.col("id").alias("rank"), F.col("id").alias("row_id"))
+
+    path = str(tmp_path / "seen")
+    for n, novel in ((10, 10), (25, 15), (25, 0), (30, 5), (31, 1)):
+        index = SeenIndex(spark, path, prefix_bits=2, fan_in=2)  # opened anew for each batch
+        assert index.admit(rows(n)).count() == novel
+        index.vacuum()
+    assert len(index.runs) <= 2 and index.bits == 2
+    assert SeenIndex(spark, path, prefix_bits=9).bits == 2  # the manifest decides
+
+
 def test_canonical_json(spark):
     same = [['{"b":1.50,"a":null}', '{"b" : 1.5}'], ["{}", None, "", '{"a":null}'], ['{"a":{"y":1,"x":[1,2.0]}}', '{"a": {"x": [1, 2], "y": 1.0}}'], ['{"a":3}'], ['{"a":"3"}'], ['{"a":[1,2]}'], ['{"a":[2,1]}'], ['{"a":"null"}'], ["no json"], ['{"a":true}']]
+    same += [['{"b":[100,{"c":1e2}]}', '{"b":[1e2,{"c":100.0}]}'], ['{"n":1E7}', '{"n":10000000}', '{"n":1.0e+7}'], ['{"n":-25e-3}', '{"n":-0.025}'], ['{"n":1e25}', '{"n":10000000000000000000000000}'], ['{"n":"1e2"}'], ['{"a":1,"a":9}', '{"a":9}'], ['{"a":{"x":null}}'], ['{"a":{}}']]
     got = [{r.c for r in spark.createDataFrame([(x,) for x in g], "x string").select(canonical_json(F.nullif("x", F.lit(""))).alias("c")).collect()} for g in same]
     assert all(len(x) == 1 for x in got)
     assert len(set.union(*got)) == len(same)
