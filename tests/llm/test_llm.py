@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewell.llm.mixing import fit_counts, mix_sources
-from tidewell.llm.packing import best_fit_decreasing, lower_bound, pack_texts, packing_report
+from tidewell.llm.packing import best_fit_decreasing, exchange, lower_bound, pack_texts, packing_report
 from tidewell.llm.spans import codes_of, shared_characters, shared_spans, sliding_min, window_hashes
 from tidewell.llm.tokens import with_tokens
 
@@ -142,6 +142,36 @@ def test_fit_counts(hist, budget, table):
         assert int((lengths * take).sum()) == max(s for s in sums if s <= budget)
 
 
+def test_exchange_meets_the_bound():
+    """Falling order leaves a gap here that exchanges close."""
+    sizes = np.array([6, 5, 5, 4, 4, 3, 3] + [7, 7, 3, 3, 5, 4, 3, 3, 2, 2, 6, 4])
+    start, bound = best_fit_decreasing(sizes, 11), lower_bound(sizes, 11)
+    got = exchange(sizes, start, 11, bound, 2000)
+    fill = np.bincount(got, weights=sizes)
+    assert len(got) == len(sizes) and fill.max() <= 11 and len(fill) <= int(start.max()) + 1
+    r = random.Random(8)
+    sizes = np.array([r.randint(1, 60) for _ in range(500)])
+    start, bound = best_fit_decreasing(sizes, 100), lower_bound(sizes, 100)
+    assert int(exchange(sizes, np.arange(500), 100, bound, 5000).max()) + 1 == bound
+    assert (exchange(sizes, start, 100, bound, 0) == np.unique(start, return_inverse=True)[1]).all()
+
+
+def test_one_partition_is_repacked(spark):
+    r = random.Random(11)
+    rows = [(i, r.randint(20, 60)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    one = packing_report(pack_texts(df, capacity=100, tries=0), capacity=100).first()
+    best = packing_report(pack_texts(df, capacity=100), capacity=100).first()
+    assert best.lower_bound <= best.containers <= one.containers
+
+
+def test_long_texts_enter_the_table():
+    lengths, counts = np.array([700, 900, 1100]), np.array([3, 3, 3])
+    take = fit_counts(lengths, counts, 4300, table=50)
+    sums = {a * 700 + b * 900 + c * 1100 for a in range(4) for b in range(4) for c in range(4)}
+    assert int((lengths * take).sum()) == max(x for x in sums if x <= 4300)
+
+
 def test_mix_sources(spark):
     r = random.Random(5)
     docs = [(i, r.choice(["a", "a", "a", "b", "c"]), r.randint(0, 40)) for i in range(600)] + [(9001, None, 5), (None, "a", 5), (9002, "untargeted", 9)]
