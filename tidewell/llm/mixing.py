@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewell.workspace import Workspace
 
-TABLE = 16_384  # tokens that the knapsack table covers
+TABLE = 16_384  # tokens that the knapsack table covers, or four of the longest texts if that is more
 PARTS = 256  # parts of a length's texts in the seeded order
 
 
@@ -27,13 +27,15 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
     """How many texts of each length to take, so that their sum comes as near to the budget as possible from below.
 
     Shares in proportion come first, then the longest that fit until the rest is
-    within the table, then bounded knapsack with split counts.
+    within the table, then bounded knapsack with split counts.  The table covers
+    four of the longest texts at least, so that every length enters it.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
+    table = max(table, 4 * int(lengths.max()))
     take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
     rest = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
@@ -50,7 +52,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
         take[i] -= back
         rest += back * int(lengths[i])
     parts = []  # (length number, copies, tokens)
-    for i in order.tolist():
+    for i in order[::-1].tolist():  # short ones first: their sums fill the table soonest
         left, size = min(int(counts[i] - take[i]), rest // int(lengths[i])), 1
         while left > 0:
             n = min(size, left)
@@ -118,8 +120,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total: int | None = None
     once = chosen.where("all").select("doc_id", "source", "n_tokens").unionByName(chosen.where("not all").withColumn("k", rank).where("k <= room").select("doc_id", "source", "n_tokens"))
     several = texts.join(F.broadcast(plans), "source").where("rounds > 0").select("doc_id", "source", "n_tokens", F.col("rounds").alias("uses"))
     uses = once.withColumn("uses", F.lit(1).cast("long")).unionByName(several).groupBy("doc_id", "source", "n_tokens").agg(F.sum("uses").alias("uses"))
-    got = taken.groupBy("source").agg(F.sum(F.col("take") * F.col("n_tokens")).alias("extra"), F.sum(F.col("n") * F.col("n_tokens")).alias("once")).join(plans, "source")
-    got = got.select("source", F.col("share").alias("target_share"), (F.col("extra") + F.col("once") * F.col("rounds")).alias("reached"))
+    # the shares are those of the rows that come out, not of the plan
+    uses = ws.write(uses, "uses")
+    got = plans.join(uses.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("reached")), "source").select("source", F.col("share").alias("target_share"), "reached")
     whole = got.agg(F.sum("reached").alias("of"))
     shares = got.crossJoin(whole).select("source", "target_share", (F.col("reached") / F.col("of")).alias("reached_share"))
     return uses.join(F.broadcast(shares), "source").select("doc_id", "source", F.col("uses").cast("int").alias("uses"), "n_tokens", "target_share", "reached_share")

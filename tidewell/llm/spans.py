@@ -10,8 +10,9 @@ them exactly.
    which is the only thing broadcast; a full bitmap costs work, never rows.
 2. Runs whose minimiser is in the bitmap are packed.  Equal strings are
    aggregated on the map side, so copies and boilerplate shrink at once.
-3. Buckets sort their windows.  A bucket with more than ``hot`` strings is not
-   put into one task: its windows are grouped by content over the cluster.
+3. Buckets sort their windows.  A bucket with more than ``hot`` code points is not
+   put into one task: its windows are grouped over the cluster, first by their
+   hashes, then those whose hashes more than one text has by their content.
 4. The shared windows of each text are united and their code points counted.
 """
 
@@ -249,7 +250,7 @@ def _exploded(width: int):
     return scan
 
 
-def shared_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 160, k: int = 48, hot: int = 20_000) -> DataFrame:
+def shared_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 160, k: int = 48, hot: int = 1 << 22) -> DataFrame:
     """``doc, first, last`` (code points, both inside): maximal shared spans of each text, not overlapping.
 
     docs: ``id_column`` a unique BIGINT; other columns are ignored.
@@ -274,13 +275,16 @@ def shared_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     packed = ws.write(texts.mapInArrow(_packed(width, k, shared_bitmap), "doc long, pos long, h long, s string"), "packed")
     strings = packed.groupBy("h", "s").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     strings = ws.write(strings.withColumn("u", F.monotonically_increasing_id()), "strings")
-    several = strings.groupBy("h").agg(F.count("*").alias("n"), F.min("lo").alias("l"), F.max("hi").alias("m")).where("l <> m").select("h", (F.col("n") > hot).alias("is_hot"))
+    several = strings.groupBy("h").agg(F.sum(F.length("s")).alias("n"), F.min("lo").alias("l"), F.max("hi").alias("m")).where("l <> m").select("h", (F.col("n") > hot).alias("is_hot"))
     left = ws.write(strings.join(several, "h").select("u", "h", "s", "lo", "hi", "is_hot"), "buckets")
     columns = ["u", "h", "s", "lo", "hi"]
     found = left.where("not is_hot").select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(_buckets(width), "u long, a long, b long")
     windows = left.where("is_hot").select(*columns).mapInArrow(_exploded(width), "u long, a long, w1 long, w2 long, lo long, hi long")
     wide = windows.groupBy("w1", "w2").agg(F.min("lo").alias("l"), F.max("hi").alias("m")).where("l <> m").select("w1", "w2")
-    found = found.unionByName(windows.join(wide, ["w1", "w2"], "left_semi").select("u", "a", F.col("a").alias("b")))
+    alike = windows.join(wide, ["w1", "w2"], "left_semi").join(left.where("is_hot").select("u", "s"), "u")
+    alike = ws.write(alike.select("w1", "w2", F.substring("s", F.col("a") + 1, F.lit(width)).alias("w"), "u", "a", "lo", "hi"), "alike")
+    equal = alike.groupBy("w1", "w2", "w").agg(F.min("lo").alias("l"), F.max("hi").alias("m")).where("l <> m").select("w1", "w2", "w")
+    found = found.unionByName(alike.join(equal, ["w1", "w2", "w"], "left_semi").select("u", "a", F.col("a").alias("b")))
     at = packed.join(strings.select("h", "s", "u"), ["h", "s"]).select("u", "doc", "pos").join(found, "u")
     spans = at.select("doc", (F.col("pos") + F.col("a")).alias("first"), (F.col("pos") + F.col("b") + width - 1).alias("last"))
     order = Window.partitionBy("doc").orderBy("first", "last")
