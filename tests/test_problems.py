@@ -220,6 +220,32 @@ def test_templates():
     assert head_of(tokens_of("Caused by: io.willow.StateFault: x")) == "" and head_of(tokens_of("BillingError: watch")) == ""
 
 
+def test_the_lines_before_do_not_matter():
+    long, short = "<T>\x1f \x1f<L>\x1f \x1f<I>\x1f:", "<T>\x1f \x1f<L>"
+    rows = ["2026-09-04 12:10:18 WARN com.acme.Foo: x\n", "2026-09-04 12:10:18 WARN plain text\n"]
+    p = Parser({"patterns": [head_pattern(long), head_pattern(short)], "heads": [long, short], "json": False, "pairs": False, "roles": {}})
+    for order in (rows, rows[::-1], rows * 2):
+        assert {p.parse(p.start(x), x)[2] for x in order if "acme" in x} == {"com.acme.Foo"}
+
+
+def test_longest_head_first(spark):
+    rows = lines("a", [f"2026-09-05 21:26:{i:02d} WARN com.acme.Foo: x {i}\n" for i in range(20)]) + lines("b", [f"2026-09-05 21:26:{i:02d} WARN plain {i}\n" for i in range(20)])
+    lay = mine_layouts(spark.createDataFrame(rows, LOG))
+    sizes = [len(h.split("\x1f")) for h in lay["heads"]]
+    assert len(sizes) == 2 and sizes == sorted(sizes, reverse=True) and lay["rejected"] == 0
+
+
+def test_a_layout_that_begins_late(spark):
+    """A tenth of one file, led by no other file, is a layout of its own."""
+    old = [f"2026-09-05 21:{i // 60:02d}:{i % 60:02d} [WARN] cache.tier: kept {i}\n" for i in range(900)]
+    new = [f"[2026-09-05 22:{i // 60:02d}:{i % 60:02d} UTC] INFO (cache.tier) moved {i}\n" for i in range(100)]
+    df = spark.createDataFrame(lines("a", old + new), LOG)
+    assert log_entries(df).where("headed").count() == 1000
+    none = mine_layouts(df, lead=2.0)
+    assert none["rejected"] == 100 and log_entries(df, layouts=none).where("headed").count() == 900
+    assert log_entries(df, layouts=mine_layouts(df)).where("component = 'cache.tier'").count() == 1000
+
+
 def test_stamps_and_levels():
     want = 1789960553
     for s in ["21/Sep/2026:03:15:53 +0000", "2026-09-21T03:15:53.9Z", "2026-09-21 08:45:53,123 +05:30", "Sep 21 03:15:53", "0921 03:15:53.000001", "1789960553.999", "1789960553999", 1789960553999, 1789960553.999, "2026/09/21 03:15:53", "2026-09-21 03:15:53.5 UTC"]:

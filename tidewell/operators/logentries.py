@@ -73,7 +73,14 @@ JSON_START = re.compile(r'\{\s*(?:"|$|\})')
 IS_STAMP, IS_EPOCH, IS_NAME = re.compile(f"(?:{STAMPS})"), re.compile(rf"(?:{EPOCHS})"), re.compile(TYPES["I"])
 SLOT, SPACE, SEP = "*", " ", "\x1f"
 KEYED = frozenset("TEKPLI")
-SHARE = 0.2  # of the headed rows of some file, which a layout's head must have
+# A head is a layout's header if it has SHARE of the headed rows of some file, or LEAD of those (at least FEW) of some
+# stretch of BLOCK numbers of a file, so that a layout to which a file changes late is found.  On the test tables every
+# layout that was written is found (recall 1); `layouts` gives them exactly where that does not do.
+SHARE, LEAD, FEW, BLOCK = 0.2, 0.5, 8, 64
+# A key of JSON or key=value lines has a role if it is in RARE of the rows of its file's commonest key at least, and
+# MOSTLY of its values are of the role's type.
+RARE, MOSTLY = 0.001, 0.9
+CACHED = 200_000  # texts whose template a task remembers
 
 
 @lru_cache(maxsize=65_536)
@@ -136,7 +143,7 @@ class Miner:
         self.alike = alike
         self.templates: list[tuple[str, ...]] = []
         self.masks: list[dict[str, int]] = []
-        self.buckets: dict[tuple[str, ...] | str, list[int]] = {}
+        self.buckets: dict[str, list[int]] = {}
         self.cache: dict[tuple[str, ...], int] = {}
 
     def _mask(self, template: tuple[str, ...]) -> dict[str, int]:
@@ -152,7 +159,7 @@ class Miner:
         if got is not None:
             return got
         # templates are compared if their leading structure is the same
-        key = head_of(seq) or seq[:2]
+        key = bucket_of(seq)
         best, at = 0, -1
         for k in self.buckets.setdefault(key, []):
             t = self.templates[k]
@@ -171,6 +178,8 @@ class Miner:
         elif best < sum(m.bit_count() for m in self.masks[at].values()):  # else the constants stay as they are
             merged = lcs_template(self.templates[at], seq)
             self.templates[at], self.masks[at] = merged, self._mask(merged)
+        if len(self.cache) >= CACHED:
+            self.cache.clear()
         self.cache[seq] = at
         return at
 
@@ -210,6 +219,11 @@ def head_of(template: tuple[str, ...]) -> str:
     return SEP.join(out)
 
 
+def bucket_of(seq: tuple[str, ...]) -> str:
+    """What two templates must have in common to be compared."""
+    return head_of(seq) or SEP.join(seq[:2])
+
+
 def head_pattern(head: str) -> str:
     """Regular expression of a head: named groups for stamp, level and component."""
     groups = {"T": f"(?P<T>{STAMPS})", "E": f"(?P<E>{EPOCHS})", "K": r"(?P<K>[A-Z])(?P<KT>\d{4} \d\d:\d\d:\d\d\.\d+)", "P": r"<(?P<P>\d{1,3})>", "L": rf"(?P<L>(?i:{WORDS}))\b", "I": rf"(?P<I>{TYPES['I']})"}
@@ -250,12 +264,15 @@ def _unquote(value: str) -> str:
         return value[1:-1]
 
 
+_MINED = "kind string, a string, block long, bucket string, b string, n long"
+
+
 def _mine(batches):
-    """Counts of one partition: (kind, file or format, template or key, n)."""
+    """Counts of one partition: (kind, file, stretch of the file, bucket, template or key, n)."""
     miner, per, keys = Miner(), Counter(), Counter()
     known: dict[str, int] = {}  # rows that differ only in tokens with digits are tokenised once
     for batch in batches:
-        for source, log in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for source, seq, log in zip(*(batch.column(i).to_pylist() for i in range(3))):
             line = log.rstrip("\r\n")
             if "\x1b" in line:
                 line = ANSI.sub("", line)
@@ -263,7 +280,7 @@ def _mine(batches):
                 continue
             first = line[0]
             if first == "{" and JSON_START.match(line):
-                per[source, -1] += 1
+                per[source, seq // BLOCK, -1] += 1
                 try:
                     pairs = json.loads(line)
                     pairs = pairs.items() if isinstance(pairs, dict) else ()
@@ -281,18 +298,23 @@ def _mine(batches):
             elif first.isalpha() and PAIRS.match(line):
                 kinds = [(k, _kind_of(_unquote(v))) for k, v in PAIR.findall(line)]
                 if any(t in "TL" for _, t in kinds):
-                    per[source, -2] += 1
+                    per[source, seq // BLOCK, -2] += 1
                 for k, t in kinds:
                     keys[source, "pairs", k, t] += 1
             else:
                 alike = VARIES.sub("0", line)
                 at = known.get(alike)
                 if at is None:
+                    if len(known) >= CACHED:
+                        known.clear()
                     at = known[alike] = miner.add(tokens_of(line))
-                per[source, at] += 1
-    rows = [("tpl", s or "", {-1: "{", -2: "="}.get(k) or SEP.join(miner.templates[k]), n) for (s, k), n in per.items()]
-    rows += [("key", s or "", f"{form}{SEP}{k}{SEP}{t}", n) for (s, form, k, t), n in keys.items()]
-    yield pa.RecordBatch.from_pylist([dict(zip(("kind", "a", "b", "n"), r)) for r in rows], schema=pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
+                per[source, seq // BLOCK, at] += 1
+    names = {-1: "{", -2: "="} | {k: SEP.join(t) for k, t in enumerate(miner.templates)}
+    buckets = {-1: "{", -2: "="} | {k: bucket_of(t) for k, t in enumerate(miner.templates)}
+    rows = [("tpl", s or "", block, buckets[k], names[k], n) for (s, block, k), n in per.items()]
+    rows += [("key", s or "", 0, "", f"{form}{SEP}{k}{SEP}{t}", n) for (s, form, k, t), n in keys.items()]
+    columns = list(zip(*rows)) or [[]] * 6
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["kind", "a", "block", "bucket", "b", "n"])
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -317,11 +339,11 @@ def _file_roles(rows: pd.DataFrame) -> pd.DataFrame:
     for key, types in seen.items():
         n, words, numbers = total[key], types.get("L", 0), types.get("N", 0)
         # what is left of a key whose row was cut within it is rare and ends another key
-        if n < 0.001 * most or form == "pairs" and any(other != key and other.endswith(key) and n * 20 <= total[other] for other in total):
+        if n < RARE * most or form == "pairs" and any(other != key and other.endswith(key) and n * 20 <= total[other] for other in total):
             continue
         best, role = max((types.get("T", 0), "T"), (words + numbers if words else 0, "L"), (types.get("I", 0), "I"), (types.get("M", 0), "M"))
-        if best < 0.9 * n:
-            role = "N" if form == "json" and numbers == n and n >= 0.9 * most else "-"
+        if best < MOSTLY * n:
+            role = "N" if form == "json" and numbers == n and n >= MOSTLY * most else "-"
         out.append((form, key, role, n))
     return pd.DataFrame(out, columns=["form", "key", "role", "rows"])
 
@@ -337,38 +359,43 @@ def _key_role(r) -> tuple | None:
     for count in (files, rows):
         count["L"] += count.pop("N")
     n, role = max((files[x], x) for x in "TLIM")
-    enough = 2 * n >= sum(files.values()) or rows[role] >= 0.9 * sum(rows.values()) or role == "L" and words
+    enough = 2 * n >= sum(files.values()) or rows[role] >= MOSTLY * sum(rows.values()) or role == "L" and words
     return (r["form"], r["key"], role, role == "L" and not words, rows[role]) if n and enough else None
 
 
-def mine_layouts(rows: DataFrame) -> dict:
+def mine_layouts(rows: DataFrame, *, share: float = SHARE, lead: float = LEAD, few: int = FEW) -> dict:
     """Layouts of all programs: header patterns, and the roles of keys.
 
-    Only counts by (file, template) are shuffled; what comes to the driver is one
-    row for each layout and each key of JSON and key=value lines that carries a
-    role, which depends on the programs and not on the number of rows.  Keys get
-    their roles by file, so that a large file hides no key of a small one.
+    Only counts by (stretch of a file, template) are shuffled; what comes to the
+    driver is one row for each layout and each key of JSON and key=value lines
+    that carries a role, which depends on the programs and not on the number of
+    rows.  Keys get their roles by file, so that a large file hides no key of a
+    small one.  ``rejected``: rows whose head was taken for none.
     """
-    counts = rows.where(F.col("log").isNotNull()).select("source", "log").mapInArrow(_mine, "kind string, a string, b string, n long")
-    counts = counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     from tidewell.workspace import Workspace
 
-    counts = Workspace(rows.sparkSession).write(counts, "templates")
+    ws = Workspace(rows.sparkSession)
+    counts = rows.where(F.col("log").isNotNull()).select("source", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "log").mapInArrow(_mine, _MINED)
+    counts = ws.write(counts.groupBy("kind", "a", "block", "bucket", "b").agg(F.sum("n").alias("n")), "templates")
     tpl = counts.where("kind = 'tpl'")
-    bucket = F.concat_ws(SEP, F.slice(F.split("b", SEP), 1, 1))
-    heads = tpl.groupBy("b").agg(F.sum("n").alias("n")).withColumn("bucket", bucket).select("bucket", "b").groupBy("bucket").applyInPandas(_merge, "b string, head string")
-    per_file = tpl.join(heads, "b").where("head <> ''").groupBy("a", "head").agg(F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("a"))
-    led = per_file.withColumn("share", share).where(F.col("share") >= SHARE).groupBy("head").agg(F.sum("n").alias("n"))
-    found = {r["head"]: r["n"] for r in led.collect()}
+    heads = tpl.select("bucket", "b").distinct().groupBy("bucket").applyInPandas(_merge, "b string, head string")
+    stretches = tpl.join(heads, "b").where("head <> ''").groupBy("a", "block", "head").agg(F.sum("n").alias("n"))
+    stretches = stretches.withColumn("part", F.col("n") / F.sum("n").over(Window.partitionBy("a", "block")))
+    leads = (F.col("part") >= lead) & (F.col("n") >= few)
+    per_file = stretches.groupBy("a", "head").agg(F.sum("n").alias("n"), F.max(leads).alias("leads"))
+    per_file = per_file.withColumn("part", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
+    per_head = per_file.groupBy("head").agg(F.sum("n").alias("n"), F.max(F.col("leads") | (F.col("part") >= share)).alias("header"))
+    found = {r["head"]: r["n"] for r in per_head.groupBy(F.when(F.col("header"), F.col("head")).otherwise("").alias("head")).agg(F.sum("n").alias("n")).collect()}
+    rejected = found.pop("", 0)
     common = counts.where("kind = 'key'").select("a", F.split("b", SEP).alias("k"), "n").select("a", F.col("k")[0].alias("form"), F.col("k")[1].alias("key"), F.col("k")[2].alias("type"), "n")
     by_file = common.groupBy("a", "form").applyInPandas(_file_roles, "form string, key string, role string, rows long")
     merged = by_file.groupBy("form", "key").pivot("role", ["-", *"TLNIM"]).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
     roles: dict[str, dict[str, list[str]]] = {}
     for form, key, role, _, _ in sorted(filter(None, map(_key_role, merged.na.fill(0).collect())), key=lambda x: (x[3], -x[4], x[1])):
         roles.setdefault(form, {}).setdefault(role, []).append(key)
-    plain = sorted((h for h in found if h not in "{="), key=lambda h: (-found[h], h))
-    return {"patterns": [head_pattern(h) for h in plain], "heads": plain, "json": "{" in found, "pairs": "=" in found, "roles": roles}
+    # the longest head first, so that one that is the beginning of another never hides it
+    plain = sorted((h for h in found if h not in "{="), key=lambda h: (-len(h.split(SEP)), h))
+    return {"patterns": [head_pattern(h) for h in plain], "heads": plain, "json": "{" in found, "pairs": "=" in found, "roles": roles, "rejected": rejected}
 
 
 @lru_cache(maxsize=4096)
@@ -426,10 +453,23 @@ class Parser:
 
     def __init__(self, layouts: dict):
         self.patterns = [re.compile(p) for p in layouts["patterns"]]
-        self.groups = [p.groupindex for p in self.patterns]
+        self.heads = layouts.get("heads") or [SLOT] * len(self.patterns)
         self.json, self.pairs = layouts["json"], layouts["pairs"]
         self.roles = {f: {r: list(k) for r, k in x.items()} for f, x in layouts["roles"].items()}
-        self.last = 0
+        self.fitting: dict[str, list] = {}  # patterns that a line with this first character may match, in their order
+
+    def _fitting(self, first: str) -> list:
+        kind = "d" if first.isdigit() else "u" if "A" <= first <= "Z" else "w" if first.isalpha() or first == "_" else "p"
+        could = {"T": "du", "E": "d", "K": "u", "P": "p", "A": "d", "I": "uw", "L": "uw", "H": "uw", "X": "duw", "*": "dpuw"}
+        if first not in self.fitting:
+            out = []
+            for p, head in zip(self.patterns, self.heads):
+                x = head.split(SEP)[0]
+                kinds = could[x[1]] if len(x) == 3 and x[0] == "<" else "dpuw" if x in (SLOT, SPACE) else None
+                if kind in kinds if kinds else first.lower() == x[0].lower():
+                    out.append(p)
+            self.fitting[first] = out
+        return self.fitting[first]
 
     def start(self, line: str):
         """What a line that begins an entry is parsed from, None if it begins none."""
@@ -440,12 +480,9 @@ class Parser:
             return ("json",) if self.json and JSON_START.match(line) else None
         if "\x1b" in line:
             line = ANSI.sub("", line)
-        n = len(self.patterns)
-        for d in range(n):  # rows of a file mostly have the layout of the row before
-            k = (self.last + d) % n
-            m = self.patterns[k].match(line)
+        for p in self._fitting(line[0]):  # by their order alone: the lines before must not matter
+            m = p.match(line)
             if m:
-                self.last = k
                 return ("head", m, line)
         if self.pairs and first.isalpha() and "=" in line:
             bare = line.rstrip("\r\n")

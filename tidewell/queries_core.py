@@ -11,7 +11,6 @@ from tidewell.operators.changes import apply_changes
 from tidewell.operators.dedup import further_copies
 from tidewell.operators.findings import with_finding
 from tidewell.operators.hierarchy import hierarchy, paths, standing_links
-from tidewell.operators.logentries import log_entries
 from tidewell.operators.snapshots import canonical_json, follow, snapshot_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,12 +59,6 @@ SELECT n.epoch, n.uid, n.k AS field_name, CASE WHEN json_type(l.v) = 'VARCHAR' T
 FROM newest n JOIN last l ON l.epoch = n.epoch AND l.uid = n.uid AND l.k = n.k WHERE NOT n.gone"""
 
 
-@query
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = log_entries(table(spark, sf_dir, "docker_lines"), with_message=False)
-    return entries.where("headed").select("source", "first_seq", "last_seq", "entry_sec", "level", "component")
-
-
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_finding(table(spark, sf_dir, "summary_entries").select("delivery_id", "recv_ms", "target_id", "epoch", "seq", "dedup_key", "first_seen", "finding_id"))
