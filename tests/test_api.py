@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.api import Engine, Limits, Scope
-from tidewell.functions.redact import MASK, expand_template, redact_json, redact_labels, redact_text, truncate_utf8
+from tidewell.functions.redact import MASK, expand_template, redact_json, redact_object, redact_labels, redact_text, truncate_utf8
 
 
 @pytest.fixture(scope="module")
@@ -52,5 +52,22 @@ def test_limits(tables):
 def test_texts(spark):
     row = spark.createDataFrame([("Authorization: Bearer abcdefgh.ijk token: \"q w\" ok", {"api_key": "1", "x": "token=abc"}, "héé€")], "t string, m map<string,string>, u string")
     r = row.select(redact_text(F.col("t")).alias("t"), redact_labels(F.col("m")).alias("m"), *[truncate_utf8(F.col("u"), n).alias(f"u{n}") for n in (1, 2, 3, 7, 8)], expand_template("{{ $labels.x }} is {{$value}}!", F.col("m"), F.lit(2.5)).alias("e"), redact_json(F.lit("token=zzz")).alias("j")).first()
-    assert r.t == f"Authorization: Bearer {MASK} token: {MASK} ok" and r.m == {"api_key": MASK, "x": f"token={MASK}"}
+    assert r.t == f"Authorization: {MASK}" and r.m == {"api_key": MASK, "x": f"token={MASK}"}
     assert (r.u1, r.u2, r.u3, r.u7, r.u8) == ("h", "h", "hé", "héé", "héé€") and r.e == "token=abc is 2.5!" and r.j == f"token={MASK}"
+
+
+def test_redaction(spark):
+    """Own cases of every kind of secret; what only looks like one stays."""
+    key = "-----BEGIN EC PRIVATE KEY-----\nq\n-----END EC PRIVATE KEY----- rest"
+    want = {
+        "pwd=a1 zone=b": f"pwd={MASK} zone=b", 'x={"dsn": "a b"}': f'x={{"dsn": "{MASK}"}}', "cookie: 'k v'; ok": f"cookie: '{MASK}'; ok", key: f"{MASK} rest", "-----BEGIN PRIVATE KEY----- cut": MASK,
+        "Proxy-Authorization = Basic Zm9vOmJhcg==, next": f"Proxy-Authorization = {MASK}, next", "sent basic Zm9vOmJhcg==": f"sent basic {MASK}", "ASIA0123456789ABCDEF!": f"{MASK}!", "ghs_" + "a1" * 12: MASK, "xoxb-0123456789-a": MASK,
+        "amqp://who:what@mq/v": f"amqp://who:{MASK}@mq/v", "tokens: 5": "tokens: 5", "sessions are basic": "sessions are basic", "http://mq:5672/v": "http://mq:5672/v", None: None, "": "",
+    }
+    rows = spark.createDataFrame(list(want.items()), "t string, want string")
+    assert [(r.t, r.got) for r in rows.select("t", "want", redact_text(F.col("t")).alias("got")).collect() if r.got != want[r.t]] == []
+    secret = '{"metadata":{"managedFields":[1],"annotations":{"a":"b"}},"data":{"k":"v"},"spec":{"env":[{"name":"N","value":"v"}],"dbPassword":"x","secretName":"s","n":1}}'
+    got = spark.createDataFrame([("Secret", secret), ("Pod", secret), ("Pod", "pwd=1"), (None, None)], "kind string, o string").select(redact_object("kind", "o").alias("o")).collect()
+    spec = f'"spec":{{"env":[{{"name":"N","value":"{MASK}"}}],"dbPassword":"{MASK}","secretName":"s","n":1}}'
+    assert got[0].o == f'{{"metadata":{{"annotations":{{"a":"{MASK}"}}}},"data":{{"k":"{MASK}"}},{spec}}}'
+    assert got[1].o == f'{{"metadata":{{"annotations":{{"a":"b"}}}},"data":{{"k":"v"}},{spec}}}' and got[2].o == f"pwd={MASK}" and got[3].o is None

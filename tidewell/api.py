@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import labels as L
-from tidewell.functions.redact import redact_json, redact_text
+from tidewell.functions.redact import redact_json, redact_object, redact_text
 from tidewell.operators import state
 from tidewell.plans import logql, logql_syntax, promql, promql_syntax
 from tidewell.plans.logql_syntax import Matcher
@@ -76,7 +76,7 @@ class Engine:
     def object_get(self, objects: DataFrame, uid: str) -> DataFrame:
         """One object (uid, kind, namespace, name, object JSON), redacted."""
         seen = self.scope.visible(self.resources).select("uid")
-        return objects.where(F.col("uid") == uid).join(seen, "uid", "left_semi").withColumn("object", redact_json("object"))
+        return objects.where(F.col("uid") == uid).join(seen, "uid", "left_semi").withColumn("object", redact_object("kind", "object") if "kind" in objects.columns else redact_json("object"))
 
     def graph_query(self, uid: str, *, depth: int = 1, direction: str = "both", types: tuple[str, ...] | None = None) -> DataFrame:
         """Resources within ``depth`` hops of one, and their least depth; resources out of scope are not entered."""

@@ -26,23 +26,28 @@ def _field(text: str, low: int, high: int, names: dict[str, int]) -> tuple[set[i
         if step and (not step.isdigit() or not int(step)):
             raise CronError(f"bad step {part!r}")
         if body in ("*", "?"):
-            a, b, starred = low, high, starred or not step or step == "1"
+            a, b, starred = low, high, starred or not step
         else:
             ends = [names.get(x.lower(), int(x) if x.isdigit() else -1) for x in body.split("-")]
             if len(ends) > 2:
                 raise CronError(f"bad range {part!r}")
             a, b = ends[0], ends[-1] if len(ends) == 2 or not step else high
-        if not low <= a <= b <= high:
+        # where a name stands for 0 (Sunday), one above the highest value does so too
+        most = high + 1 if names and not low else high
+        if not low <= a <= b <= most:
             raise CronError(f"{part!r} is out of range")
-        out.update(range(a, b + 1, int(step) if step else 1))
+        out.update(v % (high + 1) for v in range(a, b + 1, int(step) if step else 1))
     return out, starred
 
 
 def previous(spec: str, zone: str, at_ms: int) -> int:
-    """Milliseconds of the last time at or before ``at_ms``; five fields, descriptors, @every, CRON_TZ."""
+    """Milliseconds of the last time at or before ``at_ms``; five fields, descriptors, @every, CRON_TZ.
+
+    ``zone`` beats the zone that the text names.
+    """
     m = re.match(r"(?:CRON_TZ|TZ)=(\S+)\s+(.*)", spec.strip())
     if m:
-        zone, spec = m[1], m[2]
+        zone, spec = zone or m[1], m[2]
     try:
         tz = ZoneInfo(zone) if zone else UTC
     except Exception as e:
@@ -56,15 +61,14 @@ def previous(spec: str, zone: str, at_ms: int) -> int:
             raise CronError(f"bad interval {spec!r}")
         step = ns // 10**9 * 1000
         return at_ms // step * step
-    fields = NAMED.get(spec, spec).split()
+    fields = NAMED.get(spec.lower(), spec).split()
     if len(fields) != 5:
         raise CronError(f"a schedule needs five fields: {spec!r}")
     minutes, _ = _field(fields[0], 0, 59, {})
     hours, _ = _field(fields[1], 0, 23, {})
     days, any_day = _field(fields[2], 1, 31, {})
     months, _ = _field(fields[3], 1, 12, MONTHS)
-    weekdays, any_weekday = _field(fields[4], 0, 7 if fields[4] == "7" else 6, DAYS)
-    weekdays = {d % 7 for d in weekdays}
+    weekdays, any_weekday = _field(fields[4], 0, 6, DAYS)
     here = datetime.fromtimestamp(at_ms // 1000, tz)
     day = here.date()
     for _ in range(366 * 5):

@@ -85,6 +85,11 @@ class Instance:
         return asdict(self)
 
 
+def told_incomplete(transition: str, state: Instance) -> bool:
+    """Is a transition told as incomplete?  A stale one is, a resolved one never, others if the evaluation was flagged."""
+    return transition == "stale" or transition != "resolved" and state.flagged
+
+
 def transitions(timeline: DataFrame) -> DataFrame:
     """Transitions of all instances.
 
@@ -108,7 +113,7 @@ def transitions(timeline: DataFrame) -> DataFrame:
                 last = ts
                 t = state.step(ts, observed is True, incomplete is True, flagged is True, None if value != value else value, content, _whole(for_ms), _whole(keep_ms))
                 if t:
-                    out.append((rule, instance, t, ts, state.active_ms, state.fired_ms, state.value, state.stale or state.flagged))
+                    out.append((rule, instance, t, ts, state.active_ms, state.fired_ms, state.value, told_incomplete(t, state)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"fired_ms": "Int64"})
 
     return rows.mapInPandas(walk, OUT)
@@ -132,6 +137,13 @@ def timeline(observed: DataFrame, ticks: DataFrame) -> DataFrame:
     return joined.select("rule_id", "instance_key", "eval_ms", F.col("o").isNotNull().alias("observed"), "incomplete", "flagged", "o.value", "o.content", "for_ms", "keep_ms")
 
 
+def single_observations(observed: DataFrame) -> DataFrame:
+    """``observed`` with an error where a rule yields a key more than once in one evaluation, as the rule then fails."""
+    n = observed.groupBy("rule_id", "instance_key", "eval_ms").agg(F.count("*").alias("n"))
+    clash = F.raise_error(F.concat(F.lit("one labelset twice after applying alert labels: "), F.col("instance_key")))
+    return observed.join(n.where(F.when(F.col("n") > 1, clash.cast("boolean")).otherwise(F.lit(True))), ["rule_id", "instance_key", "eval_ms"]).drop("n")
+
+
 def duplicate_observations(observed: DataFrame) -> DataFrame:
     """Keys that a rule yields more than once in one evaluation: an error of the rule."""
     return observed.groupBy("rule_id", "eval_ms", "instance_key").agg(F.count("*").alias("n")).where("n > 1")

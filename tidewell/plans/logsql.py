@@ -39,11 +39,17 @@ def _line_filter(f: S.LineFilter) -> str | None:
     return ("~" if f.op == "|~" else "!~") + _plain_dot(f.value)
 
 
+def _takes_empty(m: S.Matcher) -> bool:
+    """Does a matcher accept a stream without its label?"""
+    same = m.value == "" if m.op in ("=", "!=") else re.fullmatch(m.value, "") is not None
+    return same == (m.op in ("=", "=~"))
+
+
 class _Labels:
     """Which labels a filter may name at this point of the pipeline."""
 
     def __init__(self, query: S.LogQuery):
-        self.pinned = {m.name for m in query.matchers}
+        self.pinned = {m.name for m in query.matchers if not _takes_empty(m)}
         self.parser: str | None = None
 
     def check(self, name: str) -> str:
@@ -84,6 +90,9 @@ def _pattern(st: S.PatternStage) -> list[str]:
             return f"<plain:tidewell.skip{unnamed}>"
         return f"<plain:{text}>"
 
+    for kind, name in parts:
+        if kind == "capture" and name.startswith("_") and name != "_":
+            raise TranslationError(f"pattern capture {name!r}", "the field is reserved")
     out.append(f"extract{guard} {_q(''.join(shown(k, t) for k, t in parts))} from _msg keep_original_fields")
     for k, (kind, name) in enumerate(parts):
         if kind == "capture" and name != "_" and k + 1 < len(parts):
@@ -129,6 +138,8 @@ def _pipeline(q: S.LogQuery) -> tuple[str, list[str], _Labels]:
             elif isinstance(st, S.PatternStage):
                 pipes += _pattern(st)
             else:
+                for name in re.findall(r"\(\?P?<(_\w*)>", st.text):
+                    raise TranslationError(f"regexp capture {name!r}", "the field is reserved")
                 pipes.append(f"extract_regexp {_plain_dot(st.text)} keep_original_fields")
     return " ".join(filters), pipes, labels
 

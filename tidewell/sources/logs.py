@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.redact import truncate_utf8
 from tidewell.sources.tables import label_map
 
 CRI = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)) (stdout|stderr) ([FP])(?::[^ ]*)? ?(.*)$"
@@ -35,14 +36,14 @@ def parse_docker(raw: Column) -> Column:
 def assemble(rows: DataFrame, keys: tuple[str, ...] = ("path", "stream"), order: str = "offset", max_bytes: int = 1 << 20) -> DataFrame:
     """``keys, time_ns, text, truncated``: partial rows joined until a final one; the time is that of the first.
 
-    rows: keys, order, time_ns, final, text.  A line longer than ``max_bytes`` keeps its beginning.
+    rows: keys, order, time_ns, final, text.  A line longer than ``max_bytes`` keeps the whole characters of its beginning.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     line = F.coalesce(F.sum(F.col("final").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = rows.withColumn("line_no", line).groupBy(*keys, "line_no")
     joined = groups.agg(F.min(F.struct(order, "time_ns")).alias("f"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["t"]), "")
-    return joined.select(*keys, F.col(f"f.{order}").alias(order), F.col("f.time_ns").alias("time_ns"), F.substr(text, F.lit(1), F.lit(max_bytes)).alias("text"), (F.octet_length(text) > max_bytes).alias("truncated"))
+    return joined.select(*keys, F.col(f"f.{order}").alias(order), F.col("f.time_ns").alias("time_ns"), truncate_utf8(text, max_bytes).alias("text"), (F.octet_length(text) > max_bytes).alias("truncated"))
 
 
 def pod_labels(path: Column, stream: Column, node: str | None = None, more: Column | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.functions import labels as L
-from tidewell.operators.alerts import OUT, TIMELINE, Instance, _whole
+from tidewell.operators.alerts import OUT, TIMELINE, Instance, _whole, told_incomplete
 
 STATE = "phase string, active_ms long, fired_ms long, missing_since long, stale boolean, flagged boolean, value double, content string, last_ms long"
 
@@ -29,7 +29,7 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         last = int(ts)
         t = instance.step(last, bool(observed), bool(incomplete), bool(flagged), None if pd.isna(value) else float(value), content, _whole(for_ms), _whole(keep_ms))
         if t:
-            out.append((*key, t, last, instance.active_ms, instance.fired_ms, instance.value, instance.stale or instance.flagged))
+            out.append((*key, t, last, instance.active_ms, instance.fired_ms, instance.value, told_incomplete(t, instance)))
     if instance.phase is None:
         if state.exists:
             state.remove()
