@@ -152,3 +152,10 @@ def test_rule_validation():
         S.validate_rule('{a="b"}')
     assert S.reach(S.parse("rate(foo[5m] offset 10m)")) == 900_000
     assert S.derived_labels(S.parse('label_join(foo, "x", "", "y")')) == {"x"} and S.aggregates(S.parse("1 + sum(foo)"))
+
+
+def test_replacement_templates():
+    from tidewell.plans.promql import java_replacement
+
+    want = {"$1x": "", "${1}x": "$1x", "${1}0": "$1\\0", "$1-$2": "$1-$2", "$$1": "\\$1", "$word": "$2", "$none.": ".", "a\\b": "a\\\\b", "$9": "", "$": "\\$"}
+    assert {k: java_replacement(k, "(.)(?P<word>.*)") for k in want} == want

@@ -9,6 +9,8 @@ map-side combination, so that a long series is not gathered in one task.
 
 from __future__ import annotations
 
+import re
+
 import math
 from dataclasses import dataclass
 
@@ -237,8 +239,12 @@ class Compiler:
                 agg = self._with_scalar(agg, self.scalar(x.args[1]))
                 value = F.col("intercept") + F.col("slope") * F.col("scalar_value")
         elif f == "quantile_over_time":
-            agg = self._with_scalar(groups.agg(F.collect_list(v).alias("values")), self.scalar(x.args[0]))
-            value = _quantile(F.col("scalar_value"), F.col("values"))
+            if isinstance(x.args[0], S.Number) and 0 <= x.args[0].value <= 1:  # counts by value, merged on the map side
+                agg = groups.agg(F.percentile(F.when(F.isnan(v), F.lit(-math.inf)).otherwise(v), x.args[0].value).alias("q"))
+                value = F.col("q")
+            else:
+                agg = self._with_scalar(groups.agg(F.collect_list(v).alias("values")), self.scalar(x.args[0]))
+                value = _quantile(F.col("scalar_value"), F.col("values"))
         else:
             how = {
                 "avg_over_time": F.avg(v), "sum_over_time": F.sum(v), "min_over_time": N.nan_min(v), "max_over_time": N.nan_max(v), "count_over_time": F.count(F.lit(1)).cast("double"),
@@ -315,7 +321,7 @@ class Compiler:
         else:
             target, replacement, source, pattern = text
             old = L.value_of(labels, source)
-            java = replacement.replace("\\", "\\\\")
+            java = java_replacement(replacement, pattern)
             hit = old.rlike(L.anchored(pattern))
             value = F.regexp_replace(old, F.lit(rf"\A(?s:{check_re2(pattern)})\z"), F.lit(java))
         rest = L.drop(labels, (target,))
@@ -419,6 +425,30 @@ class Compiler:
         return df.withColumn("key", L.canonical(F.map_filter(by, lambda _, v: v != "")))
 
 
+def java_replacement(text: str, pattern: str) -> str:
+    """A replacement with $1, ${1}, $name and $$ as Java writes it; a name is as long as it can be, groups that are missing are empty."""
+    compiled = re.compile(pattern)
+
+    def group(m: re.Match) -> str:
+        name = m[1] or m[2]
+        if name is None:
+            return r"\$"
+        if name.isdigit():
+            return f"${int(name)}" if int(name) <= compiled.groups else ""
+        return f"${compiled.groupindex[name]}" if name in compiled.groupindex else ""
+
+    parts, at = [], 0
+    for m in re.finditer(r"\$(?:\{(\w+)\}|(\w+)|\$)", text):
+        parts += [re.sub(r"([\\$])", r"\\\1", text[at : m.start()]), group(m)]
+        at = m.end()
+    rest = re.sub(r"([\\$])", r"\\\1", text[at:])
+    # a digit right after a group would be read as part of its number
+    out = ""
+    for x in [*parts, rest]:
+        out += ("\\" + x if re.search(r"(?<!\\)\$\d+$", out) and x[:1].isdigit() else x)
+    return out
+
+
 def _floor(v: Column) -> Column:
     """Floor of a double as a double; numbers beyond 2^53 are whole already."""
     big = (F.abs(v) >= 2.0**52) | F.isnan(v)

@@ -1,7 +1,8 @@
 """Tables written to the shared folder, to cut lineage where a plan is used again.
 
 The folder is the one that the cluster names in ``spark.checkpoint.dir``; a
-local one is set only where the session has none (tests, a laptop).  Parquet
+local one is set only where the session has none and its master is local (tests,
+a laptop): elsewhere a missing setting is an error.  Parquet
 is used rather than ``Dataset.checkpoint`` because it is compressed, keeps
 column statistics and is committed atomically, so a lost executor costs a
 retried task and nothing else.
@@ -10,18 +11,23 @@ retried task and nothing else.
 from __future__ import annotations
 
 import atexit
+import io
 import itertools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """The folder of ``spark.checkpoint.dir``, or a temporary one if unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     fallback = getattr(shared_dir, "fallback", None)
     if fallback is None:
         fallback = shared_dir.fallback = tempfile.mkdtemp(prefix="tidewell-")
@@ -65,5 +71,23 @@ class Workspace:
             self.drop(self.path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each session, through the shared folder."""
+    sc = spark.sparkContext
+    if getattr(ship, "done", None) == sc.applicationId:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    name = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(name)
+    ship.done = sc.applicationId
+
+
 def empty_like(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
