@@ -45,10 +45,12 @@ def diff_resources(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("uid
 
 
 def diff_edges(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("from_uid", "type", "to_uid")) -> DataFrame:
-    """``keys, op, attrs, prev_attrs``: edges added, removed and replaced."""
+    """``keys, op, attrs, prev_attrs``: edges added, removed and replaced; attributes (JSON texts) are compared by value."""
+    from tidewell.operators.snapshots import canonical_json
+
     a = old.select(*keys, F.lit(True).alias("in_old"), F.col("attrs").alias("prev_attrs"))
     b = new.select(*keys, F.lit(True).alias("in_new"), "attrs")
-    op = F.when(F.col("in_old").isNull(), EDGE_ADD).when(F.col("in_new").isNull(), EDGE_REMOVE).when(~F.col("attrs").eqNullSafe(F.col("prev_attrs")), EDGE_REPLACE)
+    op = F.when(F.col("in_old").isNull(), EDGE_ADD).when(F.col("in_new").isNull(), EDGE_REMOVE).when(~canonical_json(F.col("attrs")).eqNullSafe(canonical_json(F.col("prev_attrs"))), EDGE_REPLACE)
     return a.join(b, list(keys), "full_outer").withColumn("op", op).where(F.col("op").isNotNull()).select(*keys, "op", "attrs", "prev_attrs")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import state as st
@@ -14,7 +14,19 @@ from tidewell.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-AT = 600  # a point of each epoch
+
+
+def middle(ops: DataFrame) -> DataFrame:
+    """``epoch, cut``: the point half way through each epoch's numbers."""
+    return ops.groupBy("epoch").agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("cut"))
+
+
+_CUT = "c AS (SELECT epoch, (min(seq) + max(seq)) // 2 AS cut FROM ops GROUP BY epoch)"
+
+
+def pairs_text(fields: Column) -> Column:
+    """A map of JSON texts as one text, in order of its keys; numbers as they are written."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), "; ")
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,36 +42,41 @@ _O = "o AS (SELECT epoch, uid, op, fields, removed, kind, name, {'s': seq, 'i':
 _CELLS = """cells AS (
   SELECT epoch, uid, pos, k, json_extract(fields, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(fields)) AS k FROM {o} WHERE op IN (1, 2) AND fields IS NOT NULL)
   UNION ALL SELECT epoch, uid, pos, unnest(removed), NULL FROM {o} WHERE op = 2 AND removed IS NOT NULL),
-cell AS (SELECT epoch, uid, k, pos, bool_or(v IS NULL OR json_type(v) = 'NULL') AS gone FROM cells GROUP BY ALL)"""
+cell AS (SELECT epoch, uid, k, pos, bool_or(v IS NULL OR json_type(v) = 'NULL') AS gone, max(v::VARCHAR) AS v FROM cells GROUP BY ALL)"""
+# a number is shown by its value, anything else as its JSON text without spaces
+_SHOWN = "CASE WHEN gone THEN 'null' WHEN json_type(v) IN ('UBIGINT', 'BIGINT') THEN v WHEN json_type(v) = 'DOUBLE' THEN regexp_replace(v, '\\.0$', '') ELSE json(v)::VARCHAR END"
 
 
 @query
 def state_at_seq(spark: SparkSession, d: str) -> DataFrame:
-    """Live resources of each epoch at one point of its history."""
-    got = st.resources_at(table(spark, d, "ops").where(F.col("seq") <= AT))
-    return got.select("epoch", "uid", "kind", "name", F.size("fields").alias("n_fields"))
+    """Live resources of each epoch with their fields, half way through its history."""
+    ops = table(spark, d, "ops")
+    got = st.resources_at(ops.join(middle(ops), "epoch").where("seq <= cut"))
+    return got.select("epoch", "uid", "kind", "name", F.size("fields").alias("n_fields"), pairs_text(F.col("fields")).alias("fields"))
 
 
-SQL["state_at_seq"] = f"""WITH {_O}, p AS (SELECT * FROM o WHERE seq <= {AT}), {_CELLS.format(o='p')},
+SQL["state_at_seq"] = f"""WITH {_CUT}, {_O}, p AS (SELECT o.* FROM o JOIN c ON c.epoch = o.epoch AND seq <= cut), {_CELLS.format(o='p')},
 life AS (SELECT epoch, uid, max(pos) AS born, arg_max(op, pos) AS op, arg_max(kind, pos) AS kind, arg_max(name, pos) AS name FROM p WHERE op <> 2 GROUP BY ALL),
-n AS (SELECT c.epoch, c.uid, c.k, arg_max(c.gone, c.pos) AS gone FROM cell c JOIN life l ON l.epoch = c.epoch AND l.uid = c.uid AND c.pos >= l.born GROUP BY ALL)
-SELECT l.epoch, l.uid, l.kind, l.name, (count(n.k) FILTER (NOT n.gone))::INT AS n_fields
+n AS (SELECT c.epoch, c.uid, c.k, arg_max(c.gone, c.pos) AS gone, arg_max(c.v, c.pos) AS v FROM cell c JOIN life l ON l.epoch = c.epoch AND l.uid = c.uid AND c.pos >= l.born GROUP BY ALL)
+SELECT l.epoch, l.uid, l.kind, l.name, (count(n.k) FILTER (NOT n.gone))::INT AS n_fields, coalesce(string_agg(k || '=' || {_SHOWN}, '; ' ORDER BY k) FILTER (NOT n.gone), '') AS fields
 FROM life l LEFT JOIN n ON n.epoch = l.epoch AND n.uid = l.uid WHERE l.op = 1 GROUP BY ALL"""
 
 
 @query
 def state_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Net effect of the second part of each epoch on each resource."""
-    got = st.fold(table(spark, d, "ops").where(F.col("seq") > AT))
-    return got.select("epoch", "uid", "op", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"))
+    """Net effect of the second half of each epoch on each resource."""
+    ops = table(spark, d, "ops")
+    got = st.fold(ops.join(middle(ops), "epoch").where("seq > cut"))
+    return got.select("epoch", "uid", "op", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"), F.coalesce(pairs_text(F.col("fields")), F.lit("")).alias("fields"))
 
 
-SQL["state_fold"] = f"""WITH {_O}, p AS (SELECT * FROM o WHERE seq > {AT}), {_CELLS.format(o='p')},
+_FOLDED = f"""WITH {_CUT}, {_O}, p AS (SELECT o.* FROM o JOIN c ON c.epoch = o.epoch AND seq > cut), {_CELLS.format(o='p')},
 e AS (SELECT epoch, uid, arg_min(op, pos) AS f, arg_max(op, pos) AS z, max(pos) FILTER (op = 1) AS born FROM p GROUP BY ALL),
 n AS (SELECT epoch, uid, born, CASE WHEN f = 1 AND z <> 3 THEN 1 WHEN f <> 1 AND z = 3 THEN 3 WHEN f <> 1 THEN 2 END AS op FROM e WHERE NOT (f = 1 AND z = 3)),
-c AS (SELECT cell.epoch, cell.uid, k, arg_max(gone, pos) AS gone FROM cell JOIN n ON n.epoch = cell.epoch AND n.uid = cell.uid AND (n.born IS NULL OR pos >= n.born) GROUP BY ALL)
-SELECT n.epoch, n.uid, n.op, (count(c.k) FILTER (n.op = 2 OR n.op = 1 AND NOT c.gone))::INT AS n_fields
-FROM n LEFT JOIN c ON c.epoch = n.epoch AND c.uid = n.uid GROUP BY ALL"""
+x AS (SELECT cell.epoch, cell.uid, k, arg_max(gone, pos) AS gone, arg_max(v, pos) AS v FROM cell JOIN n ON n.epoch = cell.epoch AND n.uid = cell.uid AND (n.born IS NULL OR pos >= n.born) GROUP BY ALL)
+"""
+SQL["state_fold"] = _FOLDED + f"""SELECT n.epoch, n.uid, n.op, (count(x.k) FILTER (n.op = 2 OR n.op = 1 AND NOT x.gone))::INT AS n_fields, coalesce(string_agg(k || '=' || {_SHOWN}, '; ' ORDER BY k) FILTER (n.op = 2 OR n.op = 1 AND NOT x.gone), '') AS fields
+FROM n LEFT JOIN x ON x.epoch = n.epoch AND x.uid = n.uid GROUP BY n.epoch, n.uid, n.op"""
 
 
 @query
@@ -118,10 +135,13 @@ SQL["scope_status"] = "SELECT epoch, scope_key, s.state AS state, s.reason AS re
 
 @query
 def edge_history(spark: SparkSession, d: str) -> DataFrame:
-    return st.edge_history(table(spark, d, "ops"), edge_type="owns", start_ms=1_788_400_000_000, end_ms=1_789_400_000_000)
+    """Edge ops of every type in the second half of the table's time."""
+    ops = table(spark, d, "ops")
+    low, high = ops.agg(F.min("time_ms"), F.max("time_ms")).first()
+    return st.edge_history(ops, start_ms=None if low is None else (low + high) // 2)
 
 
-SQL["edge_history"] = "SELECT DISTINCT epoch, seq, idx, op, uid, edge_type, to_uid, time_ms FROM ops WHERE op IN (4, 5, 6) AND edge_type = 'owns' AND time_ms BETWEEN 1788400000000 AND 1789400000000"
+SQL["edge_history"] = "SELECT DISTINCT epoch, seq, idx, op, uid, edge_type, to_uid, time_ms FROM ops WHERE op IN (4, 5, 6) AND time_ms >= (SELECT (min(time_ms) + max(time_ms)) // 2 FROM ops)"
 
 
 @query
