@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.kube import normalize_conditions, normalize_metadata, quantity
+from tidewell.workspace import Workspace
 
 # --- fixed values: exported fields of each kind ----------------------------------
 # field: path below the object; after a colon the type: i int, b bool, t time, q quantity, l list of
@@ -28,12 +29,13 @@ FIELDS = {
     "apps/DaemonSet": f"updateStrategy=spec.updateStrategy.type desiredNumberScheduled=status.desiredNumberScheduled:i currentNumberScheduled=status.currentNumberScheduled:i numberReady=status.numberReady:i numberAvailable=status.numberAvailable:i numberUnavailable=status.numberUnavailable:i numberMisscheduled=status.numberMisscheduled:i updatedNumberScheduled=status.updatedNumberScheduled:i {_WORKLOAD}",
     "batch/Job": "completions=spec.completions:i parallelism=spec.parallelism:i backoffLimit=spec.backoffLimit:i suspend=spec.suspend:b completionMode=spec.completionMode active=status.active:i succeeded=status.succeeded:i failed=status.failed:i",
     "batch/CronJob": "schedule=spec.schedule timeZone=spec.timeZone suspend=spec.suspend:b concurrencyPolicy=spec.concurrencyPolicy lastScheduleTime=status.lastScheduleTime:t lastSuccessfulTime=status.lastSuccessfulTime:t",
-    "Service": "type=spec.type clusterIP=spec.clusterIP sessionAffinity=spec.sessionAffinity externalTrafficPolicy=spec.externalTrafficPolicy internalTrafficPolicy=spec.internalTrafficPolicy",
+    "Service": "externalName=spec.externalName type=spec.type clusterIP=spec.clusterIP sessionAffinity=spec.sessionAffinity externalTrafficPolicy=spec.externalTrafficPolicy internalTrafficPolicy=spec.internalTrafficPolicy",
     "PersistentVolumeClaim": "phase=status.phase storageClassName=spec.storageClassName accessModes=spec.accessModes:l requests.storage=spec.resources.requests.storage:q capacity.storage=status.capacity.storage:q volumeName=spec.volumeName volumeMode=spec.volumeMode",
     "PersistentVolume": "phase=status.phase storageClassName=spec.storageClassName capacity.storage=spec.capacity.storage:q accessModes=spec.accessModes:l reclaimPolicy=spec.persistentVolumeReclaimPolicy volumeMode=spec.volumeMode driver=spec.csi.driver",
     "autoscaling/HorizontalPodAutoscaler": "target.kind=spec.scaleTargetRef.kind target.name=spec.scaleTargetRef.name minReplicas=spec.minReplicas:i?1 maxReplicas=spec.maxReplicas:i currentReplicas=status.currentReplicas:i desiredReplicas=status.desiredReplicas:i",
     "policy/PodDisruptionBudget": "currentHealthy=status.currentHealthy:i desiredHealthy=status.desiredHealthy:i disruptionsAllowed=status.disruptionsAllowed:i expectedPods=status.expectedPods:i",
     "storage.k8s.io/StorageClass": "provisioner=provisioner reclaimPolicy=reclaimPolicy volumeBindingMode=volumeBindingMode allowVolumeExpansion=allowVolumeExpansion:b",
+    "networking.k8s.io/Ingress": "ingressClassName=spec.ingressClassName", "networking.k8s.io/NetworkPolicy": "policyTypes=spec.policyTypes:l",
     "ConfigMap": "immutable=immutable:b", "Secret": "type=type immutable=immutable:b",
 }
 CONDITIONS = {"Pod": "PodScheduled|PodReadyToStartContainers|Initialized|ContainersReady|Ready|DisruptionTarget", "apps/Deployment": "Available|Progressing|ReplicaFailure"}
@@ -117,6 +119,97 @@ def references(o: Column, spec: str) -> dict[str, Column]:
     return {k: F.array_sort(F.array_distinct(F.filter(F.coalesce(v, empty), lambda n: n.isNotNull()))) for k, v in names.items()}
 
 
+_EXPRESSIONS = "array<struct<key:string,operator:string,values:array<string>>>"
+_TERMS = f"array<struct<matchExpressions:{_EXPRESSIONS},matchFields:{_EXPRESSIONS}>>"
+
+
+def _names(texts: Column) -> Column:
+    """Distinct texts in order, null if there are none."""
+    held = F.array_sort(F.array_distinct(F.filter(texts, lambda x: x.isNotNull() & (x != ""))))
+    return F.when(F.size(held) > 0, held)
+
+
+def selector_text(pairs: Column, expressions: Column | None = None) -> Column:
+    """A label selector as text: requirements in order of their keys, * if there are none."""
+    none = F.array().cast("array<struct<key:string,text:string>>")
+    of = F.transform(F.map_entries(pairs), lambda e: F.struct(e["key"].alias("key"), F.concat(e["key"], F.lit("="), e["value"]).alias("text")))
+    all_of = F.coalesce(of, none)
+    if expressions is not None:
+
+        def shown(x: Column) -> Column:
+            values = F.concat(F.lit(" ("), F.array_join(F.array_sort(F.array_distinct(x["values"])), ","), F.lit(")"))
+            return F.when(x["operator"] == "Exists", x["key"]).when(x["operator"] == "DoesNotExist", F.concat(F.lit("!"), x["key"])).otherwise(F.concat(x["key"], F.lit(" "), F.lower(x["operator"]), values))
+
+        all_of = F.concat(all_of, F.coalesce(F.transform(expressions, lambda x: F.struct(x["key"].alias("key"), shown(x).alias("text"))), none))
+    text = F.array_join(F.transform(F.array_sort(all_of), lambda x: x["text"]), ",")
+    return F.when(text == "", "*").otherwise(text)
+
+
+def affinity_text(terms: Column) -> Column:
+    """Required node affinity: requirements of a term joined by commas, terms by ||, both distinct and in order."""
+
+    def shown(x: Column, field: bool) -> Column:
+        key = F.concat(F.lit("field:"), x["key"]) if field else x["key"]
+        bare = F.concat(key, F.lit(" "), F.lower(x["operator"]))
+        return F.when(x["operator"].isin("Exists", "DoesNotExist"), bare).otherwise(F.concat(bare, F.lit(" ("), F.array_join(F.array_sort(F.array_distinct(F.coalesce(x["values"], F.array().cast("array<string>")))), ","), F.lit(")")))
+
+    none = F.array().cast("array<string>")
+    each = F.transform(terms, lambda t: F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce(F.transform(t["matchExpressions"], lambda x: shown(x, False)), none), F.coalesce(F.transform(t["matchFields"], lambda x: shown(x, True)), none)))), ","))
+    return F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.filter(each, lambda x: x != ""))), " || "), F.lit(""))
+
+
+def _ingress(o: Column) -> list[tuple[str, Column]]:
+    """Hosts, backends, paths and TLS of an ingress."""
+    backend = "struct<service:struct<name:string,port:struct<name:string,number:int>>>"
+    get = lambda path, t: F.try_variant_get(o, f"$.{path}", t)
+    rules = F.coalesce(get("spec.rules", f"array<struct<host:string,http:struct<paths:array<struct<path:string,pathType:string,backend:{backend}>>>>>"), F.array().cast(f"array<struct<host:string,http:struct<paths:array<struct<path:string,pathType:string,backend:{backend}>>>>>"))
+    target = lambda b: F.when(b["service"]["name"] != "", F.concat(b["service"]["name"], F.lit(":"), F.coalesce(F.nullif(b["service"]["port"]["name"], F.lit("")), b["service"]["port"]["number"].cast("string"), F.lit("0"))))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    paths = lambda r: F.coalesce(r["http"]["paths"], F.array().cast(f"array<struct<path:string,pathType:string,backend:{backend}>>"))
+    shown = F.flatten(F.transform(rules, lambda r: F.transform(paths(r), lambda p: F.concat(F.trim(F.concat(text(r["host"]), F.lit(" "), text(p["path"]), F.lit(" "), text(p["pathType"]))), F.lit(" -> "), text(target(p["backend"]))))))
+    ends = F.concat(F.array(target(get("spec.defaultBackend", backend))), F.flatten(F.transform(rules, lambda r: F.transform(paths(r), lambda p: target(p["backend"])))))
+    balancer = F.flatten(F.transform(get("status.loadBalancer.ingress", "array<struct<ip:string,hostname:string>>"), lambda i: F.array(i["ip"], i["hostname"])))
+    return [("hosts", _names(F.transform(rules, lambda r: r["host"]))), ("backends", _names(ends)), ("paths", _names(shown)), ("tls", F.coalesce(F.size(get("spec.tls", "array<variant>")) > 0, F.lit(False))), ("loadBalancerIngress", _names(balancer))]
+
+
+def routes(objects: DataFrame, resources: DataFrame) -> DataFrame:
+    """``from_uid, type, to_uid, attrs``: ingresses to the services of their backends, with the ports."""
+    o = F.col("o")
+    parsed = objects.where(F.col("kind") == "networking.k8s.io/Ingress").withColumn("o", F.try_parse_json("object")).where(F.col("o").isNotNull())
+    ends = F.from_json(F.element_at(_map(_ingress(o)), "backends"), "array<string>")
+    each = parsed.select(F.try_variant_get(o, "$.metadata.uid", "string").alias("from_uid"), F.coalesce(F.try_variant_get(o, "$.metadata.namespace", "string"), F.lit("")).alias("ns"), F.explode(ends).alias("b"))
+    each = each.select("from_uid", "ns", F.substring_index("b", ":", 1).alias("n"), F.substring_index("b", ":", -1).alias("port")).groupBy("from_uid", "ns", "n").agg(F.array_sort(F.collect_set("port")).alias("ports"))
+    services = resources.where(F.col("kind") == "Service").select(F.col("uid").alias("to_uid"), F.coalesce("namespace", F.lit("")).alias("ns"), F.col("name").alias("n"))
+    return each.join(services, ["ns", "n"]).select("from_uid", F.lit("routes").alias("type"), "to_uid", F.to_json(F.struct("ports")).alias("attrs"))
+
+
+# fixed values: limitations of a volume's placement
+PINNED = "volume is node-local (nodeAffinity): the coordinator is pinned to its node"
+ZONAL = "volume is zonal (nodeAffinity): the coordinator can only be rescheduled within its zone"
+RWO = "ReadWriteOnce without ReadWriteOncePod: single writer relies on the spool file lock"
+RWX = "ReadWriteMany is not supported for the coordinator spool"
+NO_MODE = "no access mode reported"
+
+
+def placement(volumes: DataFrame) -> DataFrame:
+    """``name, node_affinity, pinned_nodes, zonal, limitations`` of volumes (``object`` JSON text)."""
+    o = F.col("o")
+    parsed = volumes.withColumn("o", F.try_parse_json("object")).where(F.col("o").isNotNull())
+    none = F.array().cast(_EXPRESSIONS)
+    terms = F.coalesce(F.try_variant_get(o, "$.spec.nodeAffinity.required.nodeSelectorTerms", _TERMS), F.array().cast(_TERMS))
+    held = lambda part: F.filter(F.flatten(F.transform(terms, lambda t: F.coalesce(t[part], none))), lambda x: x["operator"] == "In")
+    by_label, by_field = held("matchExpressions"), held("matchFields")
+    nodes = F.flatten(F.concat(F.transform(F.filter(by_label, lambda x: x["key"] == "kubernetes.io/hostname"), lambda x: x["values"]), F.transform(F.filter(by_field, lambda x: x["key"] == "metadata.name"), lambda x: x["values"])))
+    pinned = F.array_sort(F.array_distinct(nodes))
+    zonal = F.exists(by_label, lambda x: x["key"].endswith("/zone"))
+    modes = F.coalesce(F.try_variant_get(o, "$.spec.accessModes", "array<string>"), F.array().cast("array<string>"))
+    has = lambda m: F.array_contains(modes, m)
+    access = F.when(has("ReadWriteMany"), RWX).when(has("ReadWriteOncePod"), None).when(has("ReadWriteOnce"), RWO).when(F.size(modes) == 0, NO_MODE)
+    where = F.when(F.size(pinned) > 0, PINNED).when(zonal, ZONAL)
+    limits = F.array_sort(F.filter(F.array(where, access), lambda x: x.isNotNull()))
+    return parsed.select(F.try_variant_get(o, "$.metadata.name", "string").alias("name"), affinity_text(terms).alias("node_affinity"), pinned.alias("pinned_nodes"), zonal.alias("zonal"), limits.alias("limitations"))
+
+
 def _fields_of(o: Column, kind: str, labels: tuple[str, ...]) -> Column:
     get = lambda path, t: F.try_variant_get(o, f"$.{path}", t)
     pairs = _simple(o, kind)
@@ -129,11 +222,21 @@ def _fields_of(o: Column, kind: str, labels: tuple[str, ...]) -> Column:
         pairs.append(("ready", ready == "True"))
     if kind == "batch/CronJob":
         pairs.append(("active", F.size(get("status.active", "array<variant>"))))
+    if kind == "networking.k8s.io/Ingress":
+        pairs += _ingress(o)
+    if kind == "networking.k8s.io/NetworkPolicy":
+        pairs += [("podSelector", selector_text(get("spec.podSelector.matchLabels", "map<string,string>"), get("spec.podSelector.matchExpressions", _EXPRESSIONS)))]
+        pairs += [(f"{w}Rules", F.coalesce(F.size(get(f"spec.{w}", "array<variant>")), F.lit(0))) for w in ("ingress", "egress")]
     if kind == "Service":
+        chosen = get("spec.selector", "map<string,string>")
+        balancer = F.flatten(F.transform(get("status.loadBalancer.ingress", "array<struct<ip:string,hostname:string>>"), lambda i: F.array(i["ip"], i["hostname"])))
+        node_ports = F.transform(F.filter(get("spec.ports", "array<struct<name:string,nodePort:int,protocol:string>>"), lambda p: p["nodePort"] > 0), lambda p: F.concat(F.coalesce(F.concat(p["name"], F.lit(":")), F.lit("")), p["nodePort"].cast("string"), F.lit("/"), F.coalesce(p["protocol"], F.lit("TCP"))))
+        pairs += [("selector", F.when(F.size(chosen) > 0, selector_text(chosen))), ("loadBalancerIngress", _names(balancer)), ("nodePorts", _names(node_ports))]
         ports = F.transform(get("spec.ports", "array<struct<name:string,port:int,protocol:string,targetPort:string>>"), lambda p: F.concat(F.coalesce(F.concat(p["name"], F.lit(":")), F.lit("")), p["port"].cast("string"), F.lit("/"), F.coalesce(p["protocol"], F.lit("TCP")), F.lit("->"), F.coalesce(p["targetPort"], p["port"].cast("string"))))
         pairs += [("ports", F.array_sort(ports)), ("hasSelector", F.coalesce(F.size(get("spec.selector", "map<string,string>")) > 0, F.lit(False)))]
     if kind == "PersistentVolume":
         pairs.append(("claim", F.concat_ws("/", get("spec.claimRef.namespace", "string"), get("spec.claimRef.name", "string"))))
+        pairs.append(("nodeAffinity", F.nullif(affinity_text(get("spec.nodeAffinity.required.nodeSelectorTerms", _TERMS)), F.lit(""))))
     if kind in ("ConfigMap", "Secret"):  # names only: the values are never projected
         pairs.append(("keys", F.array_sort(F.map_keys(get("data", "map<string,variant>")))))
     if kind in POD_SPEC:
@@ -162,11 +265,17 @@ def normalize(objects: DataFrame, *, labels: tuple[str, ...] = ("app", "app.kube
 
     Kinds are named with their group but without a version.  Objects of other
     kinds, without uid, or that are no JSON are left out.
+
+    Objects are written by kind first, so that each kind is read once, by the
+    plan of its own fields, and only kinds that occur get one.
     """
     o = F.col("o")
-    parsed = objects.where(F.col("kind").isin(*FIELDS)).withColumn("o", F.try_parse_json("object")).where(F.col("o").isNotNull())
+    ws = Workspace(objects.sparkSession)
+    written = ws.write(objects.where(F.col("kind").isin(*FIELDS)).select("object", "kind"), "objects", ("kind",))
+    present = sorted(r["kind"] for r in written.select("kind").distinct().collect())  # at most one row for each kind of the table
+    parsed = written.withColumn("o", F.try_parse_json("object")).where(F.col("o").isNotNull())
     get = lambda path: F.try_variant_get(o, f"$.metadata.{path}", "string")
-    each = [parsed.where(F.col("kind") == kind).select(get("uid").alias("uid"), "kind", get("namespace").alias("namespace"), get("name").alias("name"), _fields_of(o, kind, labels).alias("fields")) for kind in FIELDS]
+    each = [parsed.where(F.col("kind") == kind).select(get("uid").alias("uid"), "kind", get("namespace").alias("namespace"), get("name").alias("name"), _fields_of(o, kind, labels).alias("fields")) for kind in present or ["Namespace"]]
     return reduce(DataFrame.unionByName, each).where(F.col("uid").isNotNull())
 
 

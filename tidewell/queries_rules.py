@@ -87,3 +87,18 @@ def alert_transitions(spark: SparkSession, d: str) -> DataFrame:
     seen = seen.select(F.lit("high").alias("rule_id"), F.element_at("labels", F.lit("event_type")).alias("instance_key"), F.col("ts_ms").alias("eval_ms"), "value", F.lit("").alias("content"))
     ticks = spark.range(grid.count).select(F.lit("high").alias("rule_id"), (F.col("id") * hour + grid.start).alias("eval_ms"), F.lit(False).alias("incomplete"), F.lit(False).alias("flagged"), F.lit(2 * hour).cast("long").alias("for_ms"), F.lit(hour).cast("long").alias("keep_ms"))
     return transitions(timeline(seen, ticks)).select("instance_key", "transition", "eval_ms", "active_ms", "fired_ms")
+
+
+SQL["alert_transitions"] = """WITH RECURSIVE s AS (SELECT event_type, epoch_us(ts) AS us, value AS v FROM events),
+b AS (SELECT min(us) // 3600000000 * 3600000 AS a, (max(us) + 3599999999) // 3600000000 * 3600000 AS z FROM s), g AS (SELECT unnest(range(a, z + 1, 3600000::BIGINT)) AS t FROM b),
+m AS (SELECT event_type, us // 1000 AS ms, v FROM s), o AS (SELECT event_type AS k, t FROM g JOIN m ON ms > t - 10800000 AND ms <= t GROUP BY ALL HAVING avg(v) > 55),
+x AS (SELECT f.k, g.t, o.t IS NOT NULL AS seen FROM (SELECT k, min(t) AS t FROM o GROUP BY k) f JOIN g ON g.t >= f.t LEFT JOIN o ON o.k = f.k AND o.t = g.t),
+w AS (SELECT k, min(t) AS t, 'pending' AS phase, min(t) AS active, NULL::BIGINT AS fired, NULL::BIGINT AS missing, NULL::VARCHAR AS told FROM o GROUP BY k
+  UNION ALL SELECT x.k, x.t,
+    CASE WHEN seen AND phase = 'none' THEN 'pending' WHEN seen AND x.t - active >= 7200000 THEN 'firing' WHEN seen THEN phase WHEN phase = 'firing' AND x.t - coalesce(missing, x.t) < 3600000 THEN 'firing' ELSE 'none' END,
+    CASE WHEN seen AND phase = 'none' THEN x.t ELSE active END,
+    CASE WHEN seen AND phase = 'none' THEN NULL WHEN seen AND phase = 'pending' AND x.t - active >= 7200000 THEN x.t ELSE fired END,
+    CASE WHEN seen OR phase <> 'firing' THEN NULL ELSE coalesce(missing, x.t) END,
+    CASE WHEN seen AND phase = 'pending' AND x.t - active >= 7200000 THEN 'firing' WHEN NOT seen AND phase = 'firing' AND x.t - coalesce(missing, x.t) >= 3600000 THEN 'resolved' END
+  FROM w JOIN x ON x.k = w.k AND x.t = w.t + 3600000)
+SELECT k AS instance_key, told AS transition, t AS eval_ms, active AS active_ms, fired AS fired_ms FROM w WHERE told IS NOT NULL"""
