@@ -455,3 +455,36 @@ def api_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["api_missing"] = "SELECT 'other_metric' AS metric"
+
+
+@query
+def records_framed(spark: SparkSession, d: str) -> DataFrame:
+    """Every op as a record, packed into batch frames, unpacked and decoded again."""
+    from tidewell.sources.records import decode_records, encode, frames, unpack
+
+    ops = table(spark, d, "ops").select("epoch", "seq", "idx", "op", "uid").distinct().groupBy("epoch", "seq").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("idx").cast("string"), 6, "0"), "op", F.coalesce("uid", F.lit(""))))), ",").alias("text"))
+
+    def write(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            raw = [encode({0: 1, 1: 2, 2: "t", 3: bytes.fromhex(e), 4: int(s), 5: b"w" * 16, 6: 0, 7: int(s) - 1, 8: 1, 9: 0, 10: 1, 11: {"ops": t}}) for e, s, t in zip(pdf["epoch"], pdf["seq"], pdf["text"])]
+            yield pd.DataFrame({"epoch": pdf["epoch"], "seq": pdf["seq"], "raw": raw})
+
+    records = ops.mapInPandas(write, "epoch string, seq long, raw binary")
+    got = decode_records(unpack(frames(records, ("epoch",))))
+    return got.where("error is null").select("epoch", "seq", "parent", F.get_json_object("body", "$.ops").alias("ops"))
+
+
+SQL["records_framed"] = """WITH u AS (SELECT DISTINCT epoch, seq, idx, op, uid FROM ops)
+SELECT epoch, seq, seq - 1 AS parent, string_agg(lpad(idx::VARCHAR, 6, '0') || ':' || op || ':' || coalesce(uid, ''), ',' ORDER BY lpad(idx::VARCHAR, 6, '0') || ':' || op || ':' || coalesce(uid, '')) AS ops FROM u GROUP BY epoch, seq"""
+
+
+@query
+def readable_records(spark: SparkSession, d: str) -> DataFrame:
+    """Ops as readable JSON objects, without what is null."""
+    ops = table(spark, d, "ops").where("op = 1").select("epoch", "seq", "idx", "uid", "kind", "namespace", "name").distinct()
+    return ops.select("epoch", "seq", "idx", F.to_json(F.struct("uid", "kind", "namespace", "name")).alias("text"))
+
+
+SQL["readable_records"] = """SELECT DISTINCT epoch, seq, idx, '{"uid":"' || uid || '"' || coalesce(',"kind":"' || kind || '"', '') || coalesce(',"namespace":"' || namespace || '"', '') || coalesce(',"name":"' || name || '"', '') || '}' AS text FROM ops WHERE op = 1 AND uid IS NOT NULL"""

@@ -272,15 +272,15 @@ UNION ALL SELECT 'Pod', count(*) FILTER (i.uid IS NULL), count(*), 0 FROM r LEFT
 
 @query
 def cel_late_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Cron jobs that last ran before their schedule's previous time, were the newest run the present."""
+    """Cron jobs that last ran before their schedule's previous time, were the newest run the present; a null in a field that is read is an error."""
     jobs = held(spark, d, "CronJob").select("uid", "kind", "namespace", "name", "fields")
     now = jobs.agg(F.max(F.get_json_object("fields", "$['status.last_run']").try_cast("long"))).first()[0] or 0
     got = cel.evaluate(jobs, 'field(r, "status.last_run", 0) < cronPrevious("30 */6 * * *", "", int(now) * 1000)', now, kinds=("CronJob",), labels={"schedule": '=field(r, "spec.schedule", "none")'})
     return got.select("uid", "holds", F.element_at("labels", F.lit("schedule")).alias("schedule"))
 
 
-SQL["cel_late_jobs"] = f"""WITH {_HELD % "'CronJob'"}, y AS (SELECT uid, json_type(f, '$."status.last_run"') AS k, try_cast(json_extract_string(f, '$."status.last_run"') AS BIGINT) AS t, coalesce(json_extract_string(f, '$."spec.schedule"'), 'none') AS s FROM x),
-z AS (SELECT (max(t) // 1000 * 1000 - 1800000) // 21600000 * 21600000 + 1800000 AS p FROM y), v AS (SELECT *, CASE WHEN coalesce(k, 'UBIGINT') IN ('UBIGINT', 'BIGINT') THEN coalesce(t, 0) < p END AS holds FROM y, z)
+SQL["cel_late_jobs"] = f"""WITH {_HELD % "'CronJob'"}, y AS (SELECT uid, json_type(f, '$."status.last_run"') AS k, json_type(f, '$."spec.schedule"') AS l, try_cast(json_extract_string(f, '$."status.last_run"') AS BIGINT) AS t, coalesce(json_extract_string(f, '$."spec.schedule"'), 'none') AS s FROM x),
+z AS (SELECT (max(t) // 1000 * 1000 - 1800000) // 21600000 * 21600000 + 1800000 AS p FROM y), v AS (SELECT *, CASE WHEN coalesce(k, 'UBIGINT') IN ('UBIGINT', 'BIGINT') AND (coalesce(t, 0) >= p OR coalesce(l, '') <> 'NULL') THEN coalesce(t, 0) < p END AS holds FROM y, z)
 SELECT uid, holds, CASE WHEN holds THEN s END AS schedule FROM v"""
 
 
