@@ -370,6 +370,7 @@ class _Parser:
                 raise CelError(f"no such overload: {name}")
             inner, error, n, out = dict(env), None, 0, []
             for item in over:
+                spend(env)
                 inner[var] = item
                 if name == "map":
                     if more is None or _holds(body(inner)):
@@ -476,16 +477,27 @@ def compile_cel(text: str, max_nodes: int = 500) -> Node:
     return x
 
 
+def spend(env: Env) -> None:
+    """Count a step of a macro; a predicate that takes more than its limit fails on this resource."""
+    cost = env.get("\0cost")
+    if cost is not None:
+        cost[0] -= 1
+        if cost[0] < 0:
+            raise CelError("cost limit exceeded")
+
+
+COST = 100_000  # steps of macros that a predicate may take on one resource
 OUT = "uid string, kind string, namespace string, name string, holds boolean, error string, labels map<string,string>"
 
 
-def evaluate(resources: DataFrame, expr: str, now_ms: int, *, kinds: tuple[str, ...], labels: dict[str, str] | None = None, required: tuple[str, ...] = (), edges: DataFrame | None = None) -> DataFrame:
+def evaluate(resources: DataFrame, expr: str, now_ms: int, *, kinds: tuple[str, ...], labels: dict[str, str] | None = None, required: tuple[str, ...] = (), edges: DataFrame | None = None, cost: int = COST) -> DataFrame:
     """A predicate on every resource of the kinds: ``uid, kind, namespace, name, holds, error, labels``.
 
     resources: uid, kind, namespace, name, fields (JSON text).  edges: ``from_uid,
     type, to_uid, attrs``, needed for ``out`` and ``in``.  A missing required
     field or an error gives a null ``holds`` and the error; so does a result that
-    is no bool, which the caller takes for a failure of the rule.
+    is no bool, which the caller takes for a failure of the rule, and a predicate
+    whose macros take more than ``cost`` steps.
     """
     compile_cel(expr)
     told = labels or {}
@@ -519,7 +531,7 @@ def evaluate(resources: DataFrame, expr: str, now_ms: int, *, kinds: tuple[str,
                     missing = [p for p in required if lookup(r, p, None) is None]
                     if missing:
                         raise CelError(f"missing required field {missing[0]}")
-                    env = {"r": r, "now": now}
+                    env = {"r": r, "now": now, "\0cost": [cost]}
                     row[4] = _holds(predicate(env))
                     if row[4]:
                         row[6] = {k: v for k, v in (("kind", kind), ("namespace", namespace), ("name", name)) if v} | {k: f if isinstance(f, str) else _text(f(env)) for k, f in shown.items()}

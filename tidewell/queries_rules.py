@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.alerts import timeline, transitions
+from tidewell.operators import limits
 from tidewell.operators.findings import notifications, with_finding
 from tidewell.plans import cel, promql
 from tidewell.queries_core import FINDINGS_SQL
@@ -102,3 +103,127 @@ w AS (SELECT k, min(t) AS t, 'pending' AS phase, min(t) AS active, NULL::BIGINT
     CASE WHEN seen AND phase = 'pending' AND x.t - active >= 7200000 THEN 'firing' WHEN NOT seen AND phase = 'firing' AND x.t - coalesce(missing, x.t) >= 3600000 THEN 'resolved' END
   FROM w JOIN x ON x.k = w.k AND x.t = w.t + 3600000)
 SELECT k AS instance_key, told AS transition, t AS eval_ms, active AS active_ms, fired AS fired_ms FROM w WHERE told IS NOT NULL"""
+
+
+def prom_samples(spark: SparkSession, d: str) -> DataFrame:
+    return event_samples(table(spark, d, "events")).select("labels", "ts_ms", "value")
+
+
+@query
+def limits_told(spark: SparkSession, d: str) -> DataFrame:
+    """What a series limit and a byte limit leave out of all samples."""
+    s = prom_samples(spark, d)
+    sizes = s.groupBy(F.element_at("labels", F.lit("event_type")).alias("k")).agg(F.count("*").alias("n"))
+    out = None
+    for name, bound in (("series", {"max_series": 2, "max_samples": 10**9, "max_bytes": 10**12}), ("none", {"max_series": 99, "max_samples": 10**9, "max_bytes": 10**12}), ("bytes", {"max_series": 99, "max_samples": 10**9, "max_bytes": 100})):
+        kept, told = limits.bound_series_told(s, "ts_ms", **bound)
+        row = kept.agg(F.count("*").alias("kept")).crossJoin(sizes.agg(F.count("*").alias("series"))).join(told, F.lit(True), "left").select(F.lit(name).alias("case"), "kept", "series", "limit", "omitted")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+SQL["limits_told"] = """WITH s AS (SELECT event_type AS k, count(*) AS n FROM events GROUP BY ALL), c AS (SELECT count(*) AS all_ FROM s)
+SELECT 'series' AS case, (SELECT sum(n) FROM (SELECT n FROM s ORDER BY k LIMIT 2))::BIGINT AS kept, all_ AS series, CASE WHEN all_ > 2 THEN 'series' END AS limit, CASE WHEN all_ > 2 THEN all_ - 2 END AS omitted FROM c
+UNION ALL SELECT 'none', (SELECT sum(n) FROM s)::BIGINT, all_, NULL, NULL FROM c UNION ALL SELECT 'bytes', 0, all_, 'bytes', all_ FROM c"""
+
+
+@query
+def first_items(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers in order, as many as 40 items and 1,500 bytes of JSON take."""
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    return limits.bound_items(rows, [F.col("s_suppkey")], max_items=40, max_bytes=1500)
+
+
+SQL["first_items"] = """WITH s AS (SELECT s_suppkey, s_name, sum(strlen('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}')) OVER (ORDER BY s_suppkey) AS used, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier)
+SELECT s_suppkey, s_name, (SELECT count(*) FROM s WHERE i <= 41 AND (i > 40 OR used > 1500)) > 0 AS limited FROM s WHERE i <= 40 AND used <= 1500"""
+
+
+@query
+def capped_series(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of each event type by tenth of a value, ten at most and none that was last seen long ago."""
+    e = table(spark, d, "events").select("event_type", F.floor(F.col("value") / 2).cast("string").alias("k"), micros(F.col("ts")).alias("us"))
+    low = (e.agg(F.max("us")).first()[0] or 0) - 20 * 86_400_000_000
+    kept, dropped = limits.cap_cardinality(e, "event_type", "k", "us", max_series=10, expire_before=low)
+    return kept.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("k").alias("series")).join(dropped, "event_type")
+
+
+SQL["capped_series"] = """WITH e AS (SELECT event_type, floor(value / 2)::BIGINT::VARCHAR AS k, epoch_us(ts) AS us FROM events), l AS (SELECT * FROM e WHERE us >= (SELECT max(us) FROM e) - 1728000000000),
+r AS (SELECT event_type, k, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY min(us), k) AS i FROM l GROUP BY event_type, k)
+SELECT event_type, (sum(n) FILTER (i <= 10))::BIGINT AS n, count(*) FILTER (i <= 10) AS series, count(*) FILTER (i > 10) AS dropped FROM r GROUP BY event_type"""
+
+
+@query
+def throttled(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each type told once in a day at most."""
+    e = table(spark, d, "events").select("event_type", F.floor(micros(F.col("ts")) / 1000).cast("long").alias("ms")).distinct()
+    return limits.throttle(e, "event_type", "ms", 86_400_000).groupBy("event_type").agg(F.count("*").alias("n"), F.max("told_at").alias("last"))
+
+
+SQL["throttled"] = """WITH RECURSIVE e AS (SELECT DISTINCT event_type AS k, epoch_us(ts) // 1000 AS ms FROM events), z AS (SELECT k, min(ms) AS a, max(ms) AS b FROM e GROUP BY k),
+w AS (SELECT k, a AS told, 1 AS i FROM z UNION ALL SELECT w.k, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.k = w.k AND e.ms > w.told AND e.ms < w.told + 86400000) THEN w.told + 86400000 ELSE (SELECT min(e.ms) FROM e WHERE e.k = w.k AND e.ms >= w.told + 86400000) END, i + 1 FROM w JOIN z ON z.k = w.k WHERE w.told < z.b)
+SELECT k AS event_type, count(*) AS n, max(told) AS last FROM w WHERE told IS NOT NULL GROUP BY k"""
+
+
+@query
+def scrape_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of one scrape an hour, of which some failed."""
+    s = prom_samples(spark, d).withColumn("target", F.element_at("labels", F.lit("event_type"))).withColumn("ts_ms", F.floor(F.col("ts_ms") / 3_600_000).cast("long") * 3_600_000)
+    scrapes = s.select("target", "ts_ms").distinct().withColumn("duration_s", F.lit(0.5)).withColumn("error", F.when(F.col("ts_ms") / 3_600_000 % 5 == 0, "timeout"))
+    kept, report = limits.scrape_report(s, scrapes, max_series=10)
+    return report.groupBy("target", "name").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+
+
+SQL["scrape_reports"] = """WITH s AS (SELECT event_type AS target, epoch_us(ts) // 3600000000 AS h, count(*) AS n FROM events GROUP BY ALL)
+SELECT target, 'up' AS name, (count(*) FILTER (h % 5 <> 0))::DOUBLE AS total, count(*) AS n FROM s GROUP BY target UNION ALL SELECT target, 'scrape_duration_seconds', count(*) * 0.5::DOUBLE, count(*) FROM s GROUP BY target UNION ALL SELECT target, 'scrape_samples_scraped', sum(n)::DOUBLE, count(*) FROM s GROUP BY target"""
+
+
+@query
+def bundle_switched(spark: SparkSession, d: str) -> DataFrame:
+    """Firing findings that go on, and those told stale, when a bundle drops and changes rules."""
+    s = with_finding(table(spark, d, "summary_entries")).where("rule_id is not null")
+    last = s.groupBy("target_id", "epoch", "finding").agg(F.max(F.struct("seq", "recv_ms", "delivery_id", "state", "rule_id")).alias("l")).select(F.col("l.rule_id").alias("rule_id"), F.concat_ws("|", "target_id", "epoch", "finding").alias("instance_key"), F.col("l.state").alias("phase"), F.lit(False).alias("stale"))
+    rules = last.select("rule_id").distinct()
+    n = F.length("rule_id")
+    old = rules.withColumn("class", F.lit("promql")).withColumn("evaluated", F.lit(True))
+    new = rules.where(n % 3 > 0).withColumn("class", F.when(n % 4 == 0, "logql").otherwise("promql")).withColumn("evaluated", n % 5 > 0)
+    on, told = limits.switch_bundle(last, old, new)
+    return on.select(F.lit("on").alias("what"), "rule_id").unionByName(told.select(F.lit("stale").alias("what"), "rule_id")).groupBy("what", "rule_id").agg(F.count("*").alias("n"))
+
+
+SQL["bundle_switched"] = FINDINGS_SQL + """, l AS (SELECT target_id, epoch, finding, arg_max(state, {'s': seq, 'r': recv_ms, 'd': delivery_id}) AS state, arg_max(rule_id, {'s': seq, 'r': recv_ms, 'd': delivery_id}) AS rule_id FROM r WHERE rule_id IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, length(rule_id) % 3 > 0 AND length(rule_id) % 4 <> 0 AND length(rule_id) % 5 > 0 AS stays FROM l)
+SELECT CASE WHEN stays THEN 'on' ELSE 'stale' END AS what, rule_id, count(*) AS n FROM k WHERE stays OR state = 'firing' GROUP BY ALL"""
+
+
+@query
+def evidence_shrunk(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of each type of event within 4,000 bytes: oldest and newest stay."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("finding_id"), micros(F.col("ts")).alias("time_ms"), F.concat("props", F.lit("#"), F.col("event_id").cast("string")).alias("text"))
+    return limits.shrink_evidence(e, 4000).groupBy("finding_id").agg(F.count("*").alias("n"), F.min("time_ms").alias("first"), F.max("time_ms").alias("last"))
+
+
+SQL["evidence_shrunk"] = """WITH e AS (SELECT event_type AS k, epoch_us(ts) AS us, props || '#' || event_id AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY us, t) AS u, row_number() OVER (PARTITION BY k ORDER BY us DESC, t DESC) AS d FROM e),
+s AS (SELECT *, sum(strlen(t)) OVER (PARTITION BY k ORDER BY least(u, d), u) AS used FROM r) SELECT k AS finding_id, count(*) AS n, min(us) AS first, max(us) AS last FROM s WHERE used <= 4000 GROUP BY k"""
+
+
+@query
+def histogram_by_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A quantile of buckets summed by nodes first: each type of event is a node; the same as over all at once."""
+    from tidewell.plans import promql_syntax
+    from tidewell.sources.tables import label_map
+
+    e = table(spark, d, "events")
+    inside = e.select("event_type", "value", F.explode(F.array(*[F.lit(x) for x in ("10", "25", "50", "75", "90", "+Inf")])).alias("le")).where((F.col("le") == "+Inf") | (F.col("value") <= F.col("le").try_cast("double")))
+    counts = inside.groupBy("event_type", "le").agg(F.count("*").cast("double").alias("value"))
+    samples = counts.select(label_map(__name__=F.lit("v_bucket"), event_type=F.col("event_type"), le=F.col("le")).alias("labels"), F.lit(0).cast("long").alias("ts_ms"), "value", F.lit(False).alias("is_stale"))
+    parts, total = promql_syntax.histogram_parts(promql_syntax.parse("histogram_quantile(0.5, sum by (le) (v_bucket))"))
+    nodes = None
+    for name, x in parts:
+        text = str(x).replace("sum by (le)", "sum by (le, event_type)")
+        got = promql.query(samples, text, promql.Grid(0)).withColumn("labels", F.map_concat("labels", F.create_map(F.lit("__name__"), F.lit(name))))
+        nodes = got if nodes is None else nodes.unionByName(got)
+    return promql.query(nodes.withColumn("is_stale", F.lit(False)), str(total), promql.Grid(0)).select("ts_ms", F.round("value", 9).alias("value"))
+
+
+SQL["histogram_by_parts"] = """WITH n AS (SELECT unnest([10, 25, 50, 75, 90]) AS le, unnest([0, 10, 25, 50, 75]) AS low FROM (SELECT 1)), k AS (SELECT le, low, (SELECT count(*) FROM events WHERE value <= le) AS upto, CASE WHEN low = 0 THEN 0 ELSE (SELECT count(*) FROM events WHERE value <= low) END AS below, (SELECT count(*) / 2.0 FROM events) AS rank FROM n)
+SELECT 0::BIGINT AS ts_ms, round(coalesce(min(low + (le - low) * (rank - below) / (upto - below)) FILTER (upto >= rank AND below < rank), 90), 9)::DOUBLE AS value FROM k"""
