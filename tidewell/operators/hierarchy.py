@@ -62,11 +62,11 @@ def _double(links: DataFrame, ws: Workspace, done: int) -> DataFrame:
         up = now.select(F.col("v").alias("j"), F.col("j").alias("j2"), F.col("m").alias("m2"))
         # nodes whose pointer has no row have come to a root: they leave
         new = now.join(up, "j").select("v", F.col("j2").alias("j"), F.least("m", "m2").alias("m"))
-        new_path = ws.save(new, "double")
+        new_path, known = ws.save_counting(new, "double")
         now = ws.read(new_path, new)
         if path:
             ws.drop(path)
-        path, known, steps = new_path, now.count(), steps * 2
+        path, steps = new_path, steps * 2
     return now
 
 
@@ -86,13 +86,14 @@ def _tours(core: DataFrame, ws: Workspace) -> DataFrame:
     root = F.when(after.isNull(), F.col("p"))
     out = F.struct((F.col("v") * 2 + 1).alias("arc"), after.alias("next"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"), root.alias("root"))
     arcs = known.select(F.explode(F.array(into, out)).alias("a")).select("a.*")
-    path = ws.save(arcs, "arcs")
+    on_the_way = F.col("next").isNotNull()
+    path, left = ws.save_counting(arcs, "arcs", on_the_way)
     now = ws.read(path, arcs)
-    while now.where(F.col("next").isNotNull()).limit(1).count():
+    while left:
         to = now.select(F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("root").alias("root2"))
         moved = now.where(F.col("next").isNotNull()).join(to, "next").select("arc", F.col("next2").alias("next"), (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"), F.col("root2").alias("root"))
         both = moved.unionByName(now.where(F.col("next").isNull()))
-        new_path = ws.save(both, "arcs")
+        new_path, left = ws.save_counting(both, "arcs", on_the_way)
         now = ws.read(new_path, both)
         ws.drop(path)
         path = new_path
@@ -125,24 +126,36 @@ def hierarchy(links: DataFrame, *, scope: str = "epoch", parent: str = "uid", ch
     # peel: `own` is 1 and the size of what was peeled below; of roots it is kept in `below`
     layers: list[DataFrame] = []
     below: DataFrame | None = None
+    unpeeled = None
     for _ in range(PEEL):
         inner = rest.select(F.col("p").alias("v")).distinct()
-        leaves = ws.write(rest.join(inner, "v", "left_anti"), "leaves")
+        marked = rest.join(inner, "v", "left_anti")
+        path, n_leaves = ws.save_counting(marked, "leaves")
+        if not n_leaves:  # only cycles are left, or nothing
+            break
+        leaves = ws.read(path, marked)
         kept = rest.join(inner, "v", "left_semi")
         placed = _siblings(leaves.select("v", "p", F.col("own").alias("w")))
         sums = leaves.groupBy(F.col("p").alias("v")).agg(F.sum("own").alias("add"))
         shift = kept.select("v", "own") if below is None else kept.select("v", "own").unionByName(below.select("v", "own"))
         placed = placed.join(shift.select(F.col("v").alias("p"), "own"), "p", "left")
-        layers.append(ws.write(placed.select("v", "p", F.col("w").alias("size"), (F.coalesce("own", F.lit(1)) + F.col("before")).alias("offset")), "layer"))
+        # read once, when the layer is put back: its tables are written, so it need not be
+        layers.append(placed.select("v", "p", F.col("w").alias("size"), (F.coalesce("own", F.lit(1)) + F.col("before")).alias("offset")))
         roots = sums.join(kept.select("v"), "v", "left_anti").select("v", (F.col("add") + 1).alias("own"))
         if below is not None:
             more = roots.select("v", (F.col("own") - 1).alias("own"))
             roots = below.unionByName(more.join(below.select("v"), "v", "left_semi")).unionByName(roots.join(below.select("v"), "v", "left_anti")).groupBy("v").agg(F.sum("own").alias("own"))
         below = ws.write(roots, "below")
-        rest = ws.write(kept.join(sums, "v", "left").select("v", "p", (F.col("own") + F.coalesce("add", F.lit(0))).alias("own")), "rest")
+        kept = kept.join(sums, "v", "left").select("v", "p", (F.col("own") + F.coalesce("add", F.lit(0))).alias("own"))
+        path, unpeeled = ws.save_counting(kept, "rest")
+        rest = ws.read(path, kept)
+        if not unpeeled:
+            break
 
     # cycles, and what hangs below them unpeeled
-    stuck = _double(rest, ws, rest.count())
+    unpeeled = rest.count() if unpeeled is None else unpeeled
+    below = whole.select("v", "own").where(F.lit(False)) if below is None else below
+    stuck = _double(rest, ws, unpeeled)
     on_cycle = stuck.groupBy(F.col("j").alias("v")).agg(F.lit(1).alias("on_cycle"))
     smallest = stuck.join(on_cycle, "v", "left_semi").select(F.col("v").alias("j"), F.col("m").alias("root"))
     cyclic = ws.write(

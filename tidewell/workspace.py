@@ -18,7 +18,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +55,13 @@ class Workspace:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return path
 
+    def save_counting(self, df: DataFrame, name: str = "t", what: Column | None = None) -> tuple[str, int]:
+        """Path of a written table and its number of rows (or of those for which ``what`` holds), counted by the job that writes it."""
+        seen = Observation()
+        counted = F.count(F.lit(1)) if what is None else F.count_if(what)
+        path = self.save(df.observe(seen, counted.alias("n")), name)
+        return path, seen.get["n"]
+
     def read(self, path: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(path)
 
