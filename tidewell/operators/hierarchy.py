@@ -9,6 +9,9 @@
    has summed up.  The sums give depth, entry and exit.
 4. The peeled layers are put back, last first.
 
+Joins are merges: no side is collected to the driver, and AQE splits skewed
+partitions (hot parents, roots of giant trees) of a merge join.
+
 Entry and exit number the nodes of a tree so that d is a descendant of v iff
 both have the same root and v.enter < d.enter <= v.exit.
 """
@@ -39,7 +42,7 @@ def _siblings(rows: DataFrame, with_next: bool = False) -> DataFrame:
     sums = rows.withColumn("part", F.pmod(F.hash("v"), F.lit(SPREAD))).groupBy("p", "part").agg(F.sum("w").alias("pw"), F.min("v").alias("first"))
     across = Window.partitionBy("p").orderBy("part")
     sums = sums.select("p", "part", F.coalesce(F.sum("pw").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("pb"), F.lead("first").over(across).alias("pn"))
-    out = parts.join(sums, ["p", "part"]).withColumn("before", F.col("before") + F.col("pb"))
+    out = parts.join(sums.hint("merge"), ["p", "part"]).withColumn("before", F.col("before") + F.col("pb"))
     if with_next:
         out = out.withColumn("nxt", F.coalesce("nxt", "pn"))
     return out.drop("part", "pb", "pn")
@@ -61,7 +64,7 @@ def _double(links: DataFrame, ws: Workspace, done: int) -> DataFrame:
             break
         up = now.select(F.col("v").alias("j"), F.col("j").alias("j2"), F.col("m").alias("m2"))
         # nodes whose pointer has no row have come to a root: they leave
-        new = now.join(up, "j").select("v", F.col("j2").alias("j"), F.least("m", "m2").alias("m"))
+        new = now.join(up.hint("merge"), "j").select("v", F.col("j2").alias("j"), F.least("m", "m2").alias("m"))
         new_path, known = ws.save_counting(new, "double")
         now = ws.read(new_path, new)
         if path:
@@ -79,7 +82,7 @@ def _tours(core: DataFrame, ws: Workspace) -> DataFrame:
     rows = ws.write(_siblings(rows, with_next=True).select("v", "p", "own", "nxt"), "siblings")
     first = rows.groupBy(F.col("p").alias("v")).agg(F.min(F.struct(F.pmod(F.hash("v"), F.lit(SPREAD)).alias("part"), F.col("v").alias("c"))).alias("f")).select("v", F.col("f.c").alias("first"))
     inner = rows.select(F.col("v").alias("p"), F.lit(True).alias("p_inner"))
-    known = rows.join(first, "v", "left").join(inner, "p", "left")
+    known = rows.join(first.hint("merge"), "v", "left").join(inner.hint("merge"), "p", "left")
     # arc 2v leads into v, arc 2v + 1 out of it
     into = F.struct((F.col("v") * 2).alias("arc"), F.coalesce(F.col("first") * 2, F.col("v") * 2 + 1).alias("next"), F.col("own").alias("n"), F.lit(1).cast("long").alias("d"), F.lit(None).cast("long").alias("root"))
     after = F.when(F.col("nxt").isNotNull(), F.col("nxt") * 2).when(F.col("p_inner"), F.col("p") * 2 + 1)
@@ -91,7 +94,7 @@ def _tours(core: DataFrame, ws: Workspace) -> DataFrame:
     now = ws.read(path, arcs)
     while left:
         to = now.select(F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("root").alias("root2"))
-        moved = now.where(F.col("next").isNotNull()).join(to, "next").select("arc", F.col("next2").alias("next"), (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"), F.col("root2").alias("root"))
+        moved = now.where(F.col("next").isNotNull()).join(to.hint("merge"), "next").select("arc", F.col("next2").alias("next"), (F.col("n") + F.col("n2")).alias("n"), (F.col("d") + F.col("d2")).alias("d"), F.col("root2").alias("root"))
         both = moved.unionByName(now.where(F.col("next").isNull()))
         new_path, left = ws.save_counting(both, "arcs", on_the_way)
         now = ws.read(new_path, both)
@@ -100,7 +103,7 @@ def _tours(core: DataFrame, ws: Workspace) -> DataFrame:
     total = now.groupBy("root").agg(F.max("n").alias("total"))
     # sums run from an arc to the end of its tour
     ranks = now.groupBy(F.shiftright("arc", 1).alias("v"), "root").agg(F.max("n").alias("n_in"), F.min("n").alias("n_out"), F.min_by("d", F.col("arc") % 2).alias("d"))
-    return ranks.join(total, "root").select("v", "root", (1 - F.col("d")).alias("depth"), (F.col("total") - F.col("n_in") + 1).alias("tour"), (F.col("n_in") - F.col("n_out")).alias("size"))
+    return ranks.join(total.hint("merge"), "root").select("v", "root", (1 - F.col("d")).alias("depth"), (F.col("total") - F.col("n_in") + 1).alias("tour"), (F.col("n_in") - F.col("n_out")).alias("size"))
 
 
 def hierarchy(links: DataFrame, *, scope: str = "epoch", parent: str = "uid", child: str = "to_uid") -> DataFrame:
@@ -119,8 +122,8 @@ def hierarchy(links: DataFrame, *, scope: str = "epoch", parent: str = "uid", ch
     ends = named.select("scope", F.explode(F.array("child", "parent")).alias("uid")).groupBy("scope", "uid").agg(F.lit(1).alias("one"))
     # numbers in the order of the names, so that the smallest number is the smallest name
     nodes = ws.write(ends.orderBy("scope", "uid").select("scope", "uid", F.monotonically_increasing_id().alias("id")), "nodes")
-    by_child = named.join(nodes.select("scope", F.col("uid").alias("child"), F.col("id").alias("v")), ["scope", "child"])
-    all_links = by_child.join(nodes.select("scope", F.col("uid").alias("parent"), F.col("id").alias("p")), ["scope", "parent"]).select("v", "p")
+    by_child = named.join(nodes.hint("merge").select("scope", F.col("uid").alias("child"), F.col("id").alias("v")), ["scope", "child"])
+    all_links = by_child.join(nodes.hint("merge").select("scope", F.col("uid").alias("parent"), F.col("id").alias("p")), ["scope", "parent"]).select("v", "p")
     rest = whole = ws.write(all_links.withColumn("own", F.lit(1).cast("long")), "rest")
 
     # peel: `own` is 1 and the size of what was peeled below; of roots it is kept in `below`
@@ -129,24 +132,24 @@ def hierarchy(links: DataFrame, *, scope: str = "epoch", parent: str = "uid", ch
     unpeeled = None
     for _ in range(PEEL):
         inner = rest.select(F.col("p").alias("v")).distinct()
-        marked = rest.join(inner, "v", "left_anti")
+        marked = rest.join(inner.hint("merge"), "v", "left_anti")
         path, n_leaves = ws.save_counting(marked, "leaves")
         if not n_leaves:  # only cycles are left, or nothing
             break
         leaves = ws.read(path, marked)
-        kept = rest.join(inner, "v", "left_semi")
+        kept = rest.join(inner.hint("merge"), "v", "left_semi")
         placed = _siblings(leaves.select("v", "p", F.col("own").alias("w")))
         sums = leaves.groupBy(F.col("p").alias("v")).agg(F.sum("own").alias("add"))
         shift = kept.select("v", "own") if below is None else kept.select("v", "own").unionByName(below.select("v", "own"))
-        placed = placed.join(shift.select(F.col("v").alias("p"), "own"), "p", "left")
+        placed = placed.join(shift.hint("merge").select(F.col("v").alias("p"), "own"), "p", "left")
         # read once, when the layer is put back: its tables are written, so it need not be
         layers.append(placed.select("v", "p", F.col("w").alias("size"), (F.coalesce("own", F.lit(1)) + F.col("before")).alias("offset")))
-        roots = sums.join(kept.select("v"), "v", "left_anti").select("v", (F.col("add") + 1).alias("own"))
+        roots = sums.join(kept.hint("merge").select("v"), "v", "left_anti").select("v", (F.col("add") + 1).alias("own"))
         if below is not None:
             more = roots.select("v", (F.col("own") - 1).alias("own"))
-            roots = below.unionByName(more.join(below.select("v"), "v", "left_semi")).unionByName(roots.join(below.select("v"), "v", "left_anti")).groupBy("v").agg(F.sum("own").alias("own"))
+            roots = below.unionByName(more.join(below.hint("merge").select("v"), "v", "left_semi")).unionByName(roots.join(below.hint("merge").select("v"), "v", "left_anti")).groupBy("v").agg(F.sum("own").alias("own"))
         below = ws.write(roots, "below")
-        kept = kept.join(sums, "v", "left").select("v", "p", (F.col("own") + F.coalesce("add", F.lit(0))).alias("own"))
+        kept = kept.join(sums.hint("merge"), "v", "left").select("v", "p", (F.col("own") + F.coalesce("add", F.lit(0))).alias("own"))
         path, unpeeled = ws.save_counting(kept, "rest")
         rest = ws.read(path, kept)
         if not unpeeled:
@@ -157,29 +160,29 @@ def hierarchy(links: DataFrame, *, scope: str = "epoch", parent: str = "uid", ch
     below = whole.select("v", "own").where(F.lit(False)) if below is None else below
     stuck = _double(rest, ws, unpeeled)
     on_cycle = stuck.groupBy(F.col("j").alias("v")).agg(F.lit(1).alias("on_cycle"))
-    smallest = stuck.join(on_cycle, "v", "left_semi").select(F.col("v").alias("j"), F.col("m").alias("root"))
+    smallest = stuck.join(on_cycle.hint("merge"), "v", "left_semi").select(F.col("v").alias("j"), F.col("m").alias("root"))
     cyclic = ws.write(
-        stuck.select("v", "j").join(smallest, "j").join(on_cycle, "v", "left").select("v", "root", F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("long").alias("enter"), F.lit(None).cast("long").alias("size"), F.coalesce("on_cycle", F.lit(0)).alias("on_cycle")), "cyclic"
+        stuck.select("v", "j").join(smallest.hint("merge"), "j").join(on_cycle.hint("merge"), "v", "left").select("v", "root", F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("long").alias("enter"), F.lit(None).cast("long").alias("size"), F.coalesce("on_cycle", F.lit(0)).alias("on_cycle")), "cyclic"
     )
 
-    core = ws.write(rest.join(cyclic.select("v"), "v", "left_anti"), "core")
+    core = ws.write(rest.join(cyclic.hint("merge").select("v"), "v", "left_anti"), "core")
     tours = ws.write(_tours(core, ws), "tours")
     # what was peeled right below the root comes before its tours
-    tours = tours.join(below.select(F.col("v").alias("root"), F.col("own").alias("ahead")), "root", "left")
+    tours = tours.join(below.hint("merge").select(F.col("v").alias("root"), F.col("own").alias("ahead")), "root", "left")
     tours = tours.select("v", "root", "depth", (F.col("tour") + F.coalesce("ahead", F.lit(1)) - 1).alias("enter"), "size", F.lit(0).alias("on_cycle"))
-    all_roots = whole.select(F.col("p").alias("r")).distinct().join(whole.select(F.col("v").alias("r")), "r", "left_anti")
-    sizes = core.join(all_roots, core["p"] == all_roots["r"], "left_semi").join(tours.select("v", F.col("size").alias("s")), "v").groupBy(F.col("p").alias("v")).agg(F.sum("s").alias("s"))
-    roots = all_roots.select(F.col("r").alias("v")).join(below, "v", "left").join(sizes, "v", "left")
+    all_roots = whole.select(F.col("p").alias("r")).distinct().join(whole.hint("merge").select(F.col("v").alias("r")), "r", "left_anti")
+    sizes = core.join(all_roots.hint("merge"), core["p"] == all_roots["r"], "left_semi").join(tours.hint("merge").select("v", F.col("size").alias("s")), "v").groupBy(F.col("p").alias("v")).agg(F.sum("s").alias("s"))
+    roots = all_roots.select(F.col("r").alias("v")).join(below.hint("merge"), "v", "left").join(sizes.hint("merge"), "v", "left")
     roots = roots.select("v", F.col("v").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("enter"), (F.coalesce("own", F.lit(1)) + F.coalesce("s", F.lit(0))).alias("size"), F.lit(0).alias("on_cycle"))
-    roots = roots.join(cyclic.select("v"), "v", "left_anti")
+    roots = roots.join(cyclic.hint("merge").select("v"), "v", "left_anti")
     done = ws.write(roots.unionByName(tours).unionByName(cyclic), "done")
     for layer in reversed(layers):
         above = done.select(F.col("v").alias("p"), "root", F.col("depth").alias("pd"), F.col("enter").alias("pe"))
-        back = layer.join(above, "p").select("v", "root", F.when(F.col("pd") < 0, F.col("pd")).otherwise(F.col("pd") + 1).alias("depth"), (F.col("pe") + F.col("offset")).alias("enter"), F.when(F.col("pe").isNotNull(), F.col("size")).alias("size"), F.lit(0).alias("on_cycle"))
+        back = layer.join(above.hint("merge"), "p").select("v", "root", F.when(F.col("pd") < 0, F.col("pd")).otherwise(F.col("pd") + 1).alias("depth"), (F.col("pe") + F.col("offset")).alias("enter"), F.when(F.col("pe").isNotNull(), F.col("size")).alias("size"), F.lit(0).alias("on_cycle"))
         done = done.unionByName(ws.write(back, "back"))
     name = nodes.select(F.col("id").alias("v"), "scope", "uid")
-    out = done.join(name, "v").join(nodes.select(F.col("id").alias("root"), F.col("uid").alias("root_uid")), "root")
-    out = out.join(named.select("scope", F.col("child").alias("uid"), F.col("parent").alias("parent_uid")), ["scope", "uid"], "left")
+    out = done.join(name.hint("merge"), "v").join(nodes.hint("merge").select(F.col("id").alias("root"), F.col("uid").alias("root_uid")), "root")
+    out = out.join(named.hint("merge").select("scope", F.col("child").alias("uid"), F.col("parent").alias("parent_uid")), ["scope", "uid"], "left")
     return out.select("scope", "uid", "root_uid", F.col("depth").cast("int").alias("depth"), F.col("on_cycle").cast("int").alias("on_cycle"), "parent_uid", "enter", (F.col("enter") + F.col("size") - 1).alias("exit"))
 
 
