@@ -246,6 +246,28 @@ def test_a_layout_that_begins_late(spark):
     assert log_entries(df, layouts=mine_layouts(df)).where("component = 'cache.tier'").count() == 1000
 
 
+def test_long_entries_are_not_held_whole(spark):
+    """Without messages, what goes on for many rows travels as one row."""
+    from tidewell.operators.logentries import HELD, _cut_partition
+
+    head = "2026-09-05 21:26:07 [WARN] cache.tier: kept\n"
+    texts = ["lost\n"] * 5000 + [head] + ["\tat x\n"] * 9000 + [head] * 30 + ['{"ts":"2026-09-05T21:26:07Z",\n'] + ['"a": 1,\n'] * 4000 + ['"level":"warn"}\n', "more\n"]
+    df = spark.createDataFrame(lines("a", texts), LOG)
+    lay = mine_layouts(df.where("seq between 13900 and 14040")) | {"json": True, "roles": {"json": {"T": ["ts"], "L": ["level"], "I": [], "M": []}}}
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {x.first_seq: (x.last_seq, x.level) for x in log_entries(df, layouts=lay, with_message=False).where("headed").collect()}
+        assert got[5000] == (14000, "warn") and got[14001] == (14001, "warn") and len(got) == 32
+        assert got[14031] == (14031 + 4002, "warn") or parts == 5 and got[14031][0] == 14031 + 4002
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", True)
+    plain = df.select("source", "stream", "seq", "log", "time_ns").where("seq < 5000").coalesce(1).sortWithinPartitions("seq")
+    from tidewell.operators.logentries import _CUT_SCHEMA
+
+    assert plain.mapInArrow(_cut_partition(lay, False), _CUT_SCHEMA).count() <= HELD + 2
+
+
 def test_stamps_and_levels():
     want = 1789960553
     for s in ["21/Sep/2026:03:15:53 +0000", "2026-09-21T03:15:53.9Z", "2026-09-21 08:45:53,123 +05:30", "Sep 21 03:15:53", "0921 03:15:53.000001", "1789960553.999", "1789960553999", 1789960553999, 1789960553.999, "2026/09/21 03:15:53", "2026-09-21 03:15:53.5 UTC"]:

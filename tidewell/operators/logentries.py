@@ -81,6 +81,10 @@ SHARE, LEAD, FEW, BLOCK = 0.2, 0.5, 8, 64
 # MOSTLY of its values are of the role's type.
 RARE, MOSTLY = 0.001, 0.9
 CACHED = 200_000  # texts whose template a task remembers
+# Rows of an entry, or of what goes on from the partition before, that are held one by one where no message is wanted;
+# later ones are held as one row with the last number.  An open JSON object is always held whole; only one that goes on
+# for more than HELD rows beyond a border of two partitions loses its fields.
+HELD = 2_000
 
 
 @lru_cache(maxsize=65_536)
@@ -527,8 +531,8 @@ class Parser:
 class _Cutter:
     """Cuts rows of one stream, in order of seq, into entries."""
 
-    def __init__(self, parser: Parser):
-        self.parser = parser
+    def __init__(self, parser: Parser, with_message: bool = True):
+        self.parser, self.with_message = parser, with_message
         self.reset(None)
 
     def reset(self, group) -> None:
@@ -566,7 +570,12 @@ class _Cutter:
             self.line_at = len(self.rows)
         self.rows.append((seq, log, time_ns))
         self.line_open = not log.endswith("\n")
-        return not self.line_open and self._end_line(out)
+        if self.line_open:
+            return False
+        found = self._end_line(out)
+        if not found and not self.with_message and len(self.rows) > HELD and not (self.begun and self.begun[0] == "json"):
+            self.rows[HELD:] = [(seq, "\n", time_ns)]
+        return found
 
     def finish(self, out: list) -> None:
         if self.line_open and self.rows:
@@ -603,7 +612,7 @@ def _cut_partition(layouts: dict, with_message: bool):
 
     def cut(batches):
         parser = Parser(layouts)
-        cutter, last = _Cutter(parser), None
+        cutter, last = _Cutter(parser, with_message), None
         head: list | None = []  # of the first stream; None once an entry surely began
         for batch in batches:
             out: list = []
@@ -630,6 +639,8 @@ def _cut_partition(layouts: dict, with_message: bool):
                 if not cutter.line_open and line_at and (begun := parser.start("".join(x[1] for x in head[line_at:]))):
                     raw += [(*cutter.group, *x) for x in head[:line_at]]
                     cutter.rows, cutter.begun, head = head[line_at:], begun, None
+                elif not cutter.line_open and not with_message and len(head) > HELD:
+                    head[HELD:] = [(seq, "\n", ns)]
             yield _batch(out, raw, with_message)
         if cutter.group is not None:
             yield _batch([], [(*cutter.group, *x) for x in (cutter.rows if head is None else head)], with_message)
@@ -642,7 +653,7 @@ def _cut_borders(layouts: dict, with_message: bool):
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("raw_seq")
-        cutter, out = _Cutter(Parser(layouts)), []
+        cutter, out = _Cutter(Parser(layouts), with_message), []
         cutter.reset((rows["source"].iloc[0], rows["stream"].iloc[0]))
         for seq, log, ns in zip(rows["raw_seq"].tolist(), rows["raw_log"].tolist(), rows["raw_ns"].tolist()):
             cutter.add(seq, log, None if ns is None or ns != ns else int(ns), out)
