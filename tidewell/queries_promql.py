@@ -80,14 +80,20 @@ SELECT event_type, t AS ts_ms, round(max(v), 9) AS value FROM g JOIN i ON h > t
 )
 
 
+def bucket_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, le, value``: how many values are up to each bound, none included."""
+    counts = [F.count_if(F.col("value") <= b).alias(str(b)) for b in (10, 25, 50, 75, 90)] + [F.count("*").alias("+Inf")]
+    names = ["10", "25", "50", "75", "90", "+Inf"]
+    wide = rows.groupBy(*keys).agg(*counts)
+    return wide.select(*keys, F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`").cast("double") for n in names]))).alias("le", "value"))
+
+
 def promql_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Median of the values of the last day, from buckets counted by bound, for each type of event."""
     events = table(spark, d, "events")
     low, high = span(event_samples(events).select("ts_ms"))
     day = F.floor(micros(F.col("ts")) / (DAY * 1000))
-    bounds = F.explode(F.array(*[F.lit(x) for x in ("10", "25", "50", "75", "90", "+Inf")])).alias("le")
-    inside = events.select("event_type", day.alias("day"), "value", bounds).where((F.col("le") == "+Inf") | (F.col("value") <= F.col("le").try_cast("double")))
-    counts = inside.groupBy("event_type", "day", "le").agg(F.count("*").cast("double").alias("value"))
+    counts = bucket_counts(events.select("event_type", day.alias("day"), "value"), "event_type", "day")
     labels = label_map(__name__=F.lit("v_bucket"), event_type=F.col("event_type"), le=F.col("le"))
     samples = counts.select(labels.alias("labels"), ((F.col("day") + 1) * DAY).cast("long").alias("ts_ms"), "value", F.lit(False).alias("is_stale"))
     grid = promql.Grid.of(up(low, DAY), up(high, DAY), DAY)

@@ -12,6 +12,7 @@ from tidewell.operators import limits
 from tidewell.operators.findings import notifications, with_finding
 from tidewell.plans import cel, promql
 from tidewell.queries_core import FINDINGS_SQL
+from tidewell.queries_promql import bucket_counts
 from tidewell.sources.logs import newest_evidence
 from tidewell.sources.tables import event_lines, event_samples, micros
 
@@ -212,9 +213,7 @@ def histogram_by_parts(spark: SparkSession, d: str) -> DataFrame:
     from tidewell.plans import promql_syntax
     from tidewell.sources.tables import label_map
 
-    e = table(spark, d, "events")
-    inside = e.select("event_type", "value", F.explode(F.array(*[F.lit(x) for x in ("10", "25", "50", "75", "90", "+Inf")])).alias("le")).where((F.col("le") == "+Inf") | (F.col("value") <= F.col("le").try_cast("double")))
-    counts = inside.groupBy("event_type", "le").agg(F.count("*").cast("double").alias("value"))
+    counts = bucket_counts(table(spark, d, "events").select("event_type", "value"), "event_type")
     samples = counts.select(label_map(__name__=F.lit("v_bucket"), event_type=F.col("event_type"), le=F.col("le")).alias("labels"), F.lit(0).cast("long").alias("ts_ms"), "value", F.lit(False).alias("is_stale"))
     parts, total = promql_syntax.histogram_parts(promql_syntax.parse("histogram_quantile(0.5, sum by (le) (v_bucket))"))
     nodes = None
