@@ -172,11 +172,21 @@ def rollup(statuses: DataFrame) -> DataFrame:
 def match_evidence(evidence: DataFrame, alerts: DataFrame) -> DataFrame:
     """Each line with the first alert of its rule whose shared labels agree; of a rule the oldest alert counts first.
 
-    Both are joined by rule; alerts of one rule are few beside its lines.
+    Lines and alerts meet by equality: for each pair of sets of label names (few
+    for a rule) the values of the shared names are a key, of which only the first
+    alert is kept before the join.  So no line is paired with every alert.
     """
     from pyspark.sql import Window
 
-    both = evidence.join(alerts.select("rule_id", "instance_key", "active_ms", F.col("labels").alias("alert_labels")), "rule_id")
-    agree = F.forall(F.array_intersect(F.map_keys("labels"), F.map_keys("alert_labels")), lambda k: F.element_at("labels", k) == F.element_at("alert_labels", k))
-    first = Window.partitionBy("rule_id", "ts_ns", "seq").orderBy("active_ms", "instance_key")
-    return both.where(agree).withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank", "alert_labels", "active_ms")
+    names_of = F.array_sort(F.map_keys("labels"))
+    lines, told = evidence.withColumn("_names", names_of), alerts.select("rule_id", "instance_key", "active_ms", F.col("labels").alias("_labels"), names_of.alias("_told"))
+    sets = lines.select("rule_id", "_names").distinct().join(told.select("rule_id", "_told").distinct(), "rule_id").withColumn("_shared", F.array_sort(F.array_intersect("_names", "_told")))
+
+    def key(labels: str):
+        return F.to_json(F.transform("_shared", lambda n: F.element_at(F.col(labels), n)))
+
+    firsts = told.join(sets, ["rule_id", "_told"]).groupBy("rule_id", "_names", "_shared", key("_labels").alias("_key")).agg(F.min(F.struct("active_ms", "instance_key")).alias("_first"))
+    keyed = lines.join(sets.select("rule_id", "_names", "_shared").distinct(), ["rule_id", "_names"]).withColumn("_key", key("labels"))
+    both = keyed.join(firsts, ["rule_id", "_names", "_shared", "_key"])
+    best = Window.partitionBy("rule_id", "ts_ns", "seq").orderBy("_first")
+    return both.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(*evidence.columns, F.col("_first.instance_key").alias("instance_key"))

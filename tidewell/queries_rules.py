@@ -226,3 +226,21 @@ def histogram_by_parts(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["histogram_by_parts"] = """WITH n AS (SELECT unnest([10, 25, 50, 75, 90]) AS le, unnest([0, 10, 25, 50, 75]) AS low FROM (SELECT 1)), k AS (SELECT le, low, (SELECT count(*) FROM events WHERE value <= le) AS upto, CASE WHEN low = 0 THEN 0 ELSE (SELECT count(*) FROM events WHERE value <= low) END AS below, (SELECT count(*) / 2.0 FROM events) AS rank FROM n)
 SELECT 0::BIGINT AS ts_ms, round(coalesce(min(low + (le - low) * (rank - below) / (upto - below)) FILTER (upto >= rank AND below < rank), 90), 9)::DOUBLE AS value FROM k"""
+
+
+@query
+def evidence_matched(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of events with the first alert of their rule whose shared labels agree: alerts of one type, of any, and of another source."""
+    from tidewell.plans.bundle import match_evidence
+    from tidewell.sources.tables import label_map
+
+    lines = event_lines(table(spark, d, "events")).withColumn("rule_id", F.lit("r"))
+    kinds = table(spark, d, "events").select("event_type").distinct()
+    one = kinds.where("event_type like 'c%'").select(F.concat(F.lit("one-"), "event_type").alias("instance_key"), F.lit(1).alias("active_ms"), label_map(event_type=F.col("event_type"), pod=F.lit("p")).alias("labels"))
+    any_ = spark.range(1).select(F.lit("any").alias("instance_key"), F.lit(2).alias("active_ms"), label_map(pod=F.lit("p")).alias("labels"))
+    other = spark.range(1).select(F.lit("other").alias("instance_key"), F.lit(0).alias("active_ms"), label_map(source=F.lit("elsewhere")).alias("labels"))
+    alerts = one.unionByName(any_).unionByName(other).withColumn("rule_id", F.lit("r"))
+    return match_evidence(lines, alerts).groupBy(F.element_at("labels", F.lit("event_type")).alias("event_type"), "instance_key").agg(F.count("*").alias("n"))
+
+
+SQL["evidence_matched"] = "SELECT event_type, CASE WHEN event_type LIKE 'c%' THEN 'one-' || event_type ELSE 'any' END AS instance_key, count(*) AS n FROM events GROUP BY ALL"

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # --- fixed values: limits and marks of the formats --------------------------------
 MAX_RECORD, MAX_DEPTH, MAX_FRAME = 4 << 20, 32, 64 << 20
 FRAME_BATCH, PLAIN, ZSTD = 0x01, 0x00, 0x01
-EXPORT_MAGIC = b"EMHPX1\n"
+MARK = b"RECORDS1\n"  # of an export file; that of another writer is a parameter
 TYPES = {1: "checkpoint", 2: "delta", 3: "range", 4: "finding"}
 # -----------------------------------------------------------------------------------
 
@@ -178,16 +178,16 @@ def decode_frame(frame: bytes) -> list[bytes]:
     return out
 
 
-def export_bytes(header: dict, records: list[bytes]) -> bytes:
+def export_bytes(header: dict, records: list[bytes], mark: bytes = MARK) -> bytes:
     """An export file: its mark, a header, and the exact bytes of each record."""
-    return EXPORT_MAGIC + encode(header) + b"".join(encode(bytes(r)) for r in records)
+    return mark + encode(header) + b"".join(encode(bytes(r)) for r in records)
 
 
-def read_export(raw: bytes) -> tuple[dict, Iterator[bytes]]:
+def read_export(raw: bytes, mark: bytes = MARK) -> tuple[dict, Iterator[bytes]]:
     """(header, records) of an export file; a damaged record raises when it is reached."""
-    if not raw.startswith(EXPORT_MAGIC):
+    if not raw.startswith(mark):
         raise RecordError("no export file")
-    header, at = _item(raw, len(EXPORT_MAGIC), 0)
+    header, at = _item(raw, len(mark), 0)
 
     def each(at: int) -> Iterator[bytes]:
         while at < len(raw):
@@ -236,7 +236,10 @@ def decode_records(raw: DataFrame, column: str = "raw") -> DataFrame:
 
 
 class ExportSource(DataSource):
-    """``spark.read.format("export").load(path)``: records of export files, one partition for each file."""
+    """``spark.read.format("export").load(path)``: records of export files, one partition for each file.
+
+    Option ``mark``: the text with which the files begin, if another writer's.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -246,12 +249,12 @@ class ExportSource(DataSource):
         return "file string, number long, target_id string, raw binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return ExportReader(self.options["path"])
+        return ExportReader(self.options["path"], self.options["mark"].encode() if "mark" in self.options else MARK)
 
 
 class ExportReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, mark: bytes = MARK):
+        self.path, self.mark = path, mark
 
     def partitions(self):
         from pyarrow import fs
@@ -268,7 +271,7 @@ class ExportReader(DataSourceReader):
 
         system, _ = _file_system(self.path)
         with system.open_input_stream(partition.value) as f:
-            header, records = read_export(f.read())
+            header, records = read_export(f.read(), self.mark)
         for n, raw in enumerate(records):
             yield partition.value, n, header.get("target_id"), raw
 
