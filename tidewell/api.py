@@ -67,6 +67,7 @@ class Engine:
     resources: DataFrame | None = None
     edges: DataFrame | None = None
     evidence: DataFrame | None = None
+    external: dict[str, DataFrame] = field(default_factory=dict)
     limits: Limits = field(default_factory=Limits)
     scope: Scope = field(default_factory=Scope)
 
@@ -107,6 +108,15 @@ class Engine:
             raise logql_syntax.LogQLError(f"logql: {grid.count} steps exceed {bound.max_samples}")
         return bound_series(logql.metric_query(self.lines, scoped, grid), "ts_ns", bound)
 
+    def lookback(self, source: str, text: str, start: int, end: int | None = None, step: int | None = None, **limits: int) -> DataFrame:
+        """A query over an external source of lines or samples, within the same scope and limits; times as its language has them."""
+        if source not in self.external:
+            raise ValueError(f"no source {source!r}")
+        rows = self.external[source]
+        if "line" in rows.columns:
+            return replace(self, lines=rows).logql(text, start, end, step, **limits)
+        return replace(self, samples=rows).promql(text, start, end, step, **limits)
+
     def evidence_query(self, n: int = 10) -> DataFrame:
         """Newest evidence lines of each rule, within the scope."""
         return newest_evidence(logql.select_streams(self.evidence, tuple(self.scope.matchers())), n)

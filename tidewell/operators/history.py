@@ -196,3 +196,16 @@ def overview(records: DataFrame, scope: tuple[str, ...] = ("epoch",)) -> DataFra
     single = records.groupBy(*scope, "seq", "idx").agg(F.min("time_ms").alias("t"))
     got = single.groupBy(*scope).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("head"), F.count_distinct("seq").alias("records"), F.count("*").alias("ops"), F.min("t").alias("first_ms"), F.max("t").alias("last_ms"))
     return got.withColumn("missing", F.col("head") - F.col("first_seq") + 1 - F.col("records"))
+
+
+def kv_state(changes: DataFrame, prefix: str = "") -> DataFrame:
+    """``key, value`` of a key-value store after its changes (seq, key, value, deleted): the last change of a key counts."""
+    mine = changes.where(F.col("key").startswith(prefix) & F.col("seq").isNotNull())
+    last = mine.groupBy("key").agg(F.max(F.struct("seq", F.coalesce("deleted", F.lit(False)).alias("gone"), "value")).alias("z"))
+    return last.where("not z.gone").select("key", "z.value")
+
+
+def queue_after(appended: DataFrame, acked: DataFrame, keys: tuple[str, ...] = ("node", "queue")) -> DataFrame:
+    """Items that a durable queue still holds: appended ones above what was acknowledged (keys, seq), each once, oldest first in ``place``."""
+    fresh, _ = admit_items(appended, acked.withColumnRenamed("seq", "cursor"), keys)
+    return fresh.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("seq")))

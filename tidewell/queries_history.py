@@ -488,3 +488,36 @@ def readable_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["readable_records"] = """SELECT DISTINCT epoch, seq, idx, '{"uid":"' || uid || '"' || coalesce(',"kind":"' || kind || '"', '') || coalesce(',"namespace":"' || namespace || '"', '') || coalesce(',"name":"' || name || '"', '') || '}' AS text FROM ops WHERE op = 1 AND uid IS NOT NULL"""
+
+
+@query
+def store_scanned(spark: SparkSession, d: str) -> DataFrame:
+    """A key-value store after all creates and deletes of resources, and a queue of the creates after half of them were acknowledged."""
+    ops = table(spark, d, "ops").where("op in (1, 3)")
+    order = F.col("seq").cast("long") * 1_000_000 + F.col("idx")
+    changes = ops.select(order.alias("seq"), F.concat_ws("/", "epoch", "uid").alias("key"), F.col("name").alias("value"), (F.col("op") == 3).alias("deleted"))
+    kept = history.kv_state(changes, "").groupBy(F.substring_index("key", "/", 1).alias("epoch")).agg(F.count("*").alias("keys"))
+    items = ops.where("op = 1").select(F.col("epoch").alias("node"), F.lit("q").alias("queue"), order.alias("seq"), "uid")
+    acked = items.groupBy("node", "queue").agg(F.expr("floor((min(seq) + max(seq)) / 2)").alias("seq"))
+    waiting = history.queue_after(items, acked).groupBy(F.col("node").alias("epoch")).agg(F.max("place").cast("long").alias("waiting"))
+    return kept.join(waiting, "epoch", "left").na.fill(0, ["waiting"])
+
+
+SQL["store_scanned"] = """WITH c AS (SELECT epoch, uid, op, seq::BIGINT * 1000000 + idx AS s FROM ops WHERE op IN (1, 3)), k AS (SELECT epoch, count(*) AS keys FROM (SELECT epoch, uid, arg_max(op, s) AS op FROM c GROUP BY ALL) WHERE op = 1 GROUP BY epoch),
+q AS (SELECT epoch, (min(s) + max(s)) // 2 AS half FROM c WHERE op = 1 GROUP BY epoch), w AS (SELECT c.epoch, count(DISTINCT s) AS waiting FROM c JOIN q ON q.epoch = c.epoch AND s > half WHERE op = 1 GROUP BY c.epoch)
+SELECT k.epoch, keys, coalesce(waiting, 0) AS waiting FROM k LEFT JOIN w ON w.epoch = k.epoch"""
+
+
+@query
+def lookback_external(spark: SparkSession, d: str) -> DataFrame:
+    """A range query over an external source of samples, in the scope of a namespace."""
+    samples = event_samples(table(spark, d, "events")).withColumn("labels", F.map_concat("labels", F.create_map(F.lit("namespace"), F.when(F.element_at("labels", F.lit("event_type")) < "d", "a").otherwise("b"))))
+    low, high = span(samples.select("ts_ms"))
+    day = 86_400_000
+    e = Engine(external={"archive": samples}, scope=Scope(namespaces=("a",)))
+    got = e.lookback("archive", "sum(count_over_time(event_value[1d]))", -(-low // day) * day, -(-high // day) * day, day)
+    return got.select("ts_ms", "value")
+
+
+SQL["lookback_external"] = """WITH s AS (SELECT epoch_us(ts) // 1000 AS ms FROM events WHERE event_type < 'd'), b AS (SELECT min(epoch_us(ts) // 1000) AS a, max(epoch_us(ts) // 1000) AS z FROM events),
+g AS (SELECT unnest(range((a + 86399999) // 86400000 * 86400000, (z + 86399999) // 86400000 * 86400000 + 1, 86400000::BIGINT)) AS t FROM b) SELECT t AS ts_ms, count(*)::DOUBLE AS value FROM g JOIN s ON ms > t - 86400000 AND ms <= t GROUP BY t"""

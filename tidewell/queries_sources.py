@@ -350,3 +350,29 @@ SQL["image_files"] = """WITH f AS (SELECT p_brand AS image, (p_partkey % 6)::INT
   FROM part GROUP BY ALL),
 k AS (SELECT * FROM f WHERE what = 'file' AND NOT EXISTS (SELECT 1 FROM f w WHERE w.image = f.image AND w.folder = f.folder AND w.layer > f.layer AND (w.what = 'opq' OR w.what = 'wh' AND w.name = f.name)))
 SELECT image, folder || '/' || name AS path, max(layer) AS layer, arg_max(data, layer) AS data FROM k GROUP BY 1, 2"""
+
+
+@query
+def cpu_seconds(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds of each processor by mode and bytes of each device, from texts written of the suppliers."""
+    n = F.col("s_suppkey")
+    text = F.concat(F.lit("cpu  1 1 1 1 1 1 1 1\ncpu0 "), n.cast("string"), F.lit(" 0 "), (n * 3).cast("string"), F.lit(" 4 5 6 7 8 0 0\nintr 5"))
+    net = F.concat(F.lit("Inter-| Receive\n face |bytes packets\n  eth0: "), n.cast("string"), F.lit(" 1 2 3 4 5 6 7 "), (n * 2).cast("string"), F.lit(" 9 0\n"))
+    s = table(spark, d, "supplier").select(n.alias("k"), hosts.cpu_times(text).alias("c"), hosts.network_bytes(net).alias("n"))
+    return s.select("k", F.size("c").cast("long").alias("modes"), F.filter("c", lambda x: x["mode"] == "system")[0]["seconds"].alias("system"), F.col("n")[0]["device"].alias("device"), F.col("n")[0]["received"].alias("received"), F.col("n")[0]["sent"].alias("sent"))
+
+
+SQL["cpu_seconds"] = "SELECT s_suppkey AS k, 8::BIGINT AS modes, s_suppkey * 3 / 100.0::DOUBLE AS system, 'eth0' AS device, s_suppkey AS received, s_suppkey * 2 AS sent FROM supplier"
+
+
+@query
+def journal_read_on(spark: SparkSession, d: str) -> DataFrame:
+    """Journal entries after a cursor half way through each file: their number, and the place of the first."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("__SEQNUM_ID"), F.col("event_id").cast("string").alias("__SEQNUM"), micros(F.col("ts")).cast("string").alias("__REALTIME_TIMESTAMP"), F.col("props").alias("MESSAGE"))
+    half = (e.agg(F.max(F.col("__SEQNUM").cast("long"))).first()[0] or 0) // 2
+    cursor = logs.journal_cursor(e.where((F.col("__SEQNUM").cast("long") <= half) & (F.col("__SEQNUM_ID") != "view")))
+    left = logs.journal_after(e.unionByName(e.where("__SEQNUM_ID = 'click'")), cursor)
+    return left.groupBy(F.col("__SEQNUM_ID").alias("file")).agg(F.count("*").alias("n"), F.min("place.us").alias("first_us"))
+
+
+SQL["journal_read_on"] = "WITH h AS (SELECT max(event_id) // 2 AS h FROM events) SELECT event_type AS file, count(*) AS n, min(epoch_us(ts)) AS first_us FROM events, h WHERE event_type = 'view' OR event_id > h GROUP BY event_type"

@@ -98,3 +98,28 @@ def overlay_files(files: DataFrame, image: str = "image") -> DataFrame:
     left = real.drop("parts").join(hit.select(image, "layer", "path").distinct(), [image, "layer", "path"], "left_anti")
     rest = [c for c in files.columns if c not in (image, "path")]
     return left.groupBy(image, "path").agg(F.max_by(F.struct(*rest), "layer").alias("f")).select(image, "path", "f.*")
+
+
+CPU_MODES = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
+
+
+def cpu_times(text: Column, per_second: int = 100) -> Column:
+    """ARRAY<STRUCT<cpu, mode, seconds>> of /proc/stat; the total line is left out."""
+    rows = F.filter(F.split(text, "\n"), lambda r: r.rlike(r"^cpu\d+ "))
+
+    def each(r: Column) -> Column:
+        parts = F.split(F.regexp_replace(r, " +", " "), " ")
+        return F.array(*[F.struct(F.substr(F.get(parts, 0), F.lit(4)).alias("cpu"), F.lit(m).alias("mode"), (F.get(parts, i).try_cast("double") / per_second).alias("seconds")) for i, m in enumerate(CPU_MODES, 1)])
+
+    return F.filter(F.flatten(F.transform(rows, each)), lambda x: x["seconds"].isNotNull())
+
+
+def network_bytes(text: Column) -> Column:
+    """ARRAY<STRUCT<device, received, sent>> of /proc/net/dev."""
+    rows = F.filter(F.split(text, "\n"), lambda r: r.rlike(r"^\s*[^\s|:]+:\s*\d"))
+
+    def each(r: Column) -> Column:
+        numbers = F.split(F.trim(F.regexp_replace(F.substring_index(r, ":", -1), r"\s+", " ")), " ")
+        return F.struct(F.trim(F.substring_index(r, ":", 1)).alias("device"), F.get(numbers, 0).try_cast("long").alias("received"), F.get(numbers, 8).try_cast("long").alias("sent"))
+
+    return F.transform(rows, each)

@@ -82,6 +82,23 @@ def journal_lines(exported: DataFrame) -> DataFrame:
     return exported.select(labels.alias("labels"), (F.col("__REALTIME_TIMESTAMP").cast("long") * 1000).alias("ts_ns"), F.col("MESSAGE").alias("line"), F.col("__SEQNUM").cast("long").alias("seq"))
 
 
+def journal_cursor(exported: DataFrame) -> DataFrame:
+    """One row ``seqnum_id, seqnum, realtime_us``: where a reader of these entries (journal exported as JSON) has come to, for each boot log."""
+    place = F.struct(F.col("__SEQNUM").cast("long").alias("seqnum"), F.col("__REALTIME_TIMESTAMP").cast("long").alias("realtime_us"))
+    return exported.groupBy(F.col("__SEQNUM_ID").alias("seqnum_id")).agg(F.max(place).alias("p")).select("seqnum_id", "p.*")
+
+
+def journal_after(exported: DataFrame, cursor: DataFrame) -> DataFrame:
+    """Entries after the cursor, each once, with their ``place`` in the order of all files: by time, then by number.
+
+    A file whose numbering the cursor does not know is read from its start.
+    """
+    once = exported.dropDuplicates(["__SEQNUM_ID", "__SEQNUM"])
+    known = cursor.select(F.col("seqnum_id").alias("__SEQNUM_ID"), F.col("seqnum").alias("_done"))
+    left = once.join(known, "__SEQNUM_ID", "left").where(F.col("_done").isNull() | (F.col("__SEQNUM").cast("long") > F.col("_done"))).drop("_done")
+    return left.withColumn("place", F.struct(F.col("__REALTIME_TIMESTAMP").cast("long").alias("us"), "__SEQNUM_ID", F.col("__SEQNUM").cast("long").alias("n")))
+
+
 def newest_evidence(lines: DataFrame, n: int, key: str = "rule_id") -> DataFrame:
     """The newest n lines of each rule."""
     order = Window.partitionBy(key).orderBy(F.desc("ts_ns"), F.desc("seq"))
