@@ -62,7 +62,7 @@ prom("promql_label_replace", 'label_replace(event_value, "kind", "$1-${2}", "eve
 prom("promql_label_join", 'label_join(event_value, "kind", "/", "event_type", "none", "event_type")', ("kind",), last(" SELECT event_type || '//' || event_type AS kind, t AS ts_ms, round(v, 9) AS value FROM l"))
 prom("promql_math", "clamp(event_value, 20, 60) + ceil(sqrt(abs(event_value))) - round(event_value, 5) + ln(abs(event_value) + 1) * sgn(event_value) + clamp_min(floor(exp(event_value / 100)), 2) - clamp_max(log2(abs(event_value) + 2), 3) + log10(abs(event_value) + 10)", ("event_type",), last(simple("least(60, greatest(20, v)) + ceil(sqrt(abs(v))) - floor(v * 0.2 + 0.5) / 0.2 + ln(abs(v) + 1) * sign(v) + greatest(floor(exp(v / 100)), 2) - least(log2(abs(v) + 2), 3) + log10(abs(v) + 10)")))
 prom("promql_times", "hour(timestamp(event_value)) * 100 + minute(timestamp(event_value)) + day_of_week(timestamp(event_value)) * 10000 + day_of_month(timestamp(event_value)) * 100000 + month(timestamp(event_value)) * 10000000", ("event_type",), last(simple("(hour(make_timestamp(ms * 1000)) * 100 + minute(make_timestamp(ms * 1000)) + dayofweek(make_timestamp(ms * 1000)) * 10000 + dayofmonth(make_timestamp(ms * 1000)) * 100000 + month(make_timestamp(ms * 1000)) * 10000000)::DOUBLE")))
-prom("promql_calendar", "day_of_year() * 1000000 + days_in_month() * 10000 + year() + time() / 10000000000", (), last(" SELECT t AS ts_ms, round(dayofyear(make_timestamp(t * 1000)) * 1000000 + dayofmonth(last_day(make_timestamp(t * 1000))) * 10000 + year(make_timestamp(t * 1000)) + t / 1000.0 / 10000000000, 9) AS value FROM g"))
+prom("promql_calendar", "day_of_year() * 1000000 + days_in_month() * 10000 + year() + time() / 3600", (), last(" SELECT t AS ts_ms, round(dayofyear(make_timestamp(t * 1000)) * 1000000 + dayofmonth(last_day(make_timestamp(t * 1000))) * 10000 + year(make_timestamp(t * 1000)) + t / 3600000, 9)::DOUBLE AS value FROM g"))
 prom("promql_and", "event_value and on (event_type) (avg_over_time(event_value[5m]) > 50)", ("event_type",), _prom_rows(300_000, _LAST + ", m AS (SELECT event_type, t FROM w GROUP BY ALL HAVING avg(v) > 50) SELECT event_type, t AS ts_ms, round(v, 9) AS value FROM l SEMI JOIN m USING (event_type, t)"))
 prom("promql_group_left", 'event_value * on (event_type) group_left (kind) label_replace(sum by (event_type) (event_value), "kind", "$1", "event_type", "(..).*") % 7', ("event_type", "kind"), last(" SELECT event_type, event_type[1:2] AS kind, t AS ts_ms, round(v * v % 7, 9) AS value FROM l"))
 prom("promql_scalars", "(event_value >= bool 50) + scalar(count(event_value)) ^ 2 + (1 < bool 2)", ("event_type",), last(" SELECT event_type, t AS ts_ms, ((v >= 50)::INT + (count(*) OVER (PARTITION BY t)) ** 2 + 1)::DOUBLE AS value FROM l"))
