@@ -66,3 +66,16 @@ def test_keys_of_a_small_file_beside_a_large_one(spark):
 def test_half_a_key_has_no_role(spark):
     rows = log_rows("a", ["level=info ts=2026-09-08T04:27:52Z msg=\"a b\"\n"] * 30 + ["vel=info msg=\"a b\"\n"])
     assert mine_layouts(spark.createDataFrame(rows, LOG))["roles"]["pairs"]["L"] == ["level"]
+
+
+ACCESS = '10.1.2.3 - - [24/Sep/2026:01:52:49 -0700] "PUT /catalog/52cd34 HTTP/1.1" '
+
+
+@pytest.mark.parametrize("cut", ["500 ", "500", '500 - "-" "curl"', '- 5000 "-" "curl"', ""])
+def test_access_lines_without_size_or_status_are_left_out(spark, tmp_path, cut):
+    """A line may be cut anywhere; one whose size or status is no number does not fail the query."""
+    texts = [ACCESS + t for t in ('500 5000 "-" "curl"\n', '404 1001 "-" "curl"\n', '404 1000 "-" "curl"\n', '204 5000 "-" "curl"\n', "500 50000", f"{cut}\n")]
+    rows = [("a", i, t, "stdout", 10**9, {"namespace": "x"}) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, LOG.replace("labels string", "labels map<string,string>")).write.parquet(f"{tmp_path}/docker_lines.parquet")
+    got = agree(spark, "logql_pattern_status", entry.oracle_sql()["logql_pattern_status"], str(tmp_path))
+    assert got == Counter(["['PUT', '404', 86400000000000, 1.0]", "['PUT', '500', 86400000000000, 2.0]"])

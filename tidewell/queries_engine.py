@@ -118,7 +118,7 @@ log_metric(
     f"WITH {_ROWS}, g AS ({_days(of='l')}) SELECT {_label('namespace')} AS namespace, coalesce(stream, '') AS stream, t AS ts_ns, count(*)::DOUBLE AS value FROM g JOIN l ON ns > t - 86400000000000 AND ns <= t WHERE {_label('namespace')} <> '' AND line LIKE '%error%' GROUP BY ALL HAVING count(*) > 1",
 )
 log_metric(
-    "logql_pattern_status", r'sum by (method, status) (count_over_time({source=~".+"} | pattern "<ip> - - [<_>] \"<method> <path> HTTP/<_>\" <status> <size> \"<_>" | size > 1KB | status >= 400 [all]))', None, of_containers, ("method", "status"),
+    "logql_pattern_status", r'sum by (method, status) (count_over_time({source=~".+"} | pattern "<ip> - - [<_>] \"<method> <path> HTTP/<_>\" <status> <size> \"<_>" | size > 1KB | status >= 400 | __error__="" [all]))', None, of_containers, ("method", "status"),
     f"WITH {_ROWS}, p AS (SELECT ns, regexp_extract(line, '^(.*?) - - \\[.*?\\] \"(.*?) (.*?) HTTP/.*?\" (.*?) (.*?)(?: \"|$)', ['ip', 'method', 'path', 'status', 'size']) AS m FROM l) SELECT m.method AS method, m.status AS status, {_ALL}, count(*)::DOUBLE AS value FROM p WHERE try_cast(m.size AS DOUBLE) > 1000 AND try_cast(m.status AS DOUBLE) >= 400 GROUP BY ALL",
 )
 log_metric(
